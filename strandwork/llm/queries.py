@@ -24,6 +24,56 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: What a turn of a conversation is called with, when it is written as a call of a tool.
+REPLY_SCHEMAS = {
+    "reply": {
+        "properties": {"text": {"type": "string"}, "turn": {"type": "integer"}, "after": {"type": "string"}},
+        "required": ["text", "turn"],
+        "additionalProperties": False,
+    }
+}
+
+
+@query
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as calls of one tool: each user turn is a call that needs the call of the user turn before the last
+    answer, each assistant turn the result of the call in the turn before it; other roles call and answer nothing."""
+    from strandwork.llm.tool_calls import link
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    name = lambda back: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+    calls = turns.where("role = 'user'").select(name(0).alias("call_id"), F.col("conv_id").alias("session"), "turn", "text", name(2).alias("before"))
+    earlier = calls.select(F.col("call_id").alias("before"), F.lit(True).alias("there")).distinct()
+    calls = calls.join(earlier, "before", "left").select(
+        "call_id",
+        "session",
+        F.lit("reply").alias("name"),
+        F.to_json(F.struct("turn", "text", F.when(F.col("there"), F.col("before")).alias("after"))).alias("arguments"),
+        F.when(F.col("there"), F.array("before")).otherwise(F.array().cast("array<string>")).alias("needs"),
+    )
+    results = turns.where("role = 'assistant'").select(name(1).alias("call_id"), F.col("text").alias("content"))
+    linked = link(calls, results, REPLY_SCHEMAS)
+    return linked.withColumn("problems", F.array_join("problems", "; "))
+
+
+#: (verdict, host, path): fixed values that the query judges urls by.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwork.llm.url_filter import judge_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandwork.llm.mixing import mix
