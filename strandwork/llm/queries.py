@@ -56,6 +56,13 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumn("problems", F.array_join("problems", "; "))
 
 
+@query
+def op6_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwork.llm.hmm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 #: (verdict, host, path): fixed values that the query judges urls by.
 URL_RULES = [
     ("block", "com", "/en/"),

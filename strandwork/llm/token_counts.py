@@ -1,76 +1,20 @@
 """Token counts: pieces are counted once per distinct pre-token and joined to the documents' pre-token frequencies.
 
 A pre-token here is a run of bytes without ASCII white space. The tokenizer drops white space and never merges across
-it, so a document has exactly as many tokens as its pre-tokens have together.
-
-The documents are read in blocks of a bounded number of rows and bytes. A block gives one row per distinct pre-token,
-with the places of the documents that hold it and how often, packed in four bytes each. Those rows, not documents, meet
-the table of pieces, so a word of every document is one row a block; the join is left for Spark to plan and to split
-where a key is hot. No list of ids is kept anywhere.
+it, so a document has exactly as many tokens as its pre-tokens have together. No list of ids is kept anywhere.
 """
 
 from __future__ import annotations
 
 import os
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents and bytes of text in a block.
-BLOCK_ROWS, BLOCK_BYTES = 4096, 32 << 20
-#: Blocks whose sums a task holds before it passes them on.
-OPEN_BLOCKS = 1024
-
-FREQUENCIES = "block long, pretoken binary, places binary, doc_ids array<long>, sizes array<long>"
-SUMS = "block long, places binary, sums binary, doc_ids array<long>, sizes array<long>"
-COUNTS = "doc_id long, n_bytes long, n_tokens long"
-
-
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
-    """(block number, ids, texts as bytes) of bounded size, numbered apart between tasks; null texts are empty."""
-    number = TaskContext.get().partitionId() << 31
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        begin = size = 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if i + 1 == len(texts) or i + 1 - begin == BLOCK_ROWS or size >= BLOCK_BYTES:
-                yield number, ids[begin : i + 1], texts[begin : i + 1]
-                number, begin, size = number + 1, i + 1, 0
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each block: its documents first, under no pre-token, then its pre-tokens."""
-    schema = pa.schema(
-        [("block", pa.int64()), ("pretoken", pa.binary()), ("places", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]
-    )
-    for number, ids, texts in blocks(batches):
-        held: dict[bytes, list[int]] = {}
-        for place, text in enumerate(texts):
-            for pretoken, n in Counter(text.split()).items():
-                while n > 0xFFFF:  # the rest of a count that two bytes can't hold is another entry
-                    held.setdefault(pretoken, []).append(place | 0xFFFF0000)
-                    n -= 0xFFFF
-                if (row := held.get(pretoken)) is None:
-                    held[pretoken] = [place | n << 16]
-                else:
-                    row.append(place | n << 16)
-        names = list(held)
-        places = [np.array(row, dtype="<u4").tobytes() for row in held.values()]
-        del held
-        head = [[number], [None], [None], [ids], [[len(t) for t in texts]]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(head, schema)], schema=schema)
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            rows = [np.full(len(part), number), part, places[at : at + 50_000], [None] * len(part), [None] * len(part)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
+from strandwork.llm.weighing import OPEN_WORDS, blocks, weigh
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,18 +22,18 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
 
     def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary())], names=["pretoken"])
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary())], names=["word"])
 
     for _, _, texts in blocks(batches):
         for text in texts:
             seen.update(text.split())
-            if len(seen) > 500_000:
+            if len(seen) > OPEN_WORDS:
                 yield rows()
                 seen.clear()
     yield rows()
 
 
-def _counter(path: str):
+def _pieces(path: str):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -101,58 +45,12 @@ def _counter(path: str):
             words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
             n = []
             for at in range(0, len(words), 2000):
-                n += [len(e) for e in tokenizer.encode_batch_fast(words[at : at + 2000], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["pretoken", "n"])
+                n += [[float(len(e))] for e in tokenizer.encode_batch_fast(words[at : at + 2000], add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.list_(pa.float64()))], names=["word", "v"])
 
     return pieces
 
 
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens by document of each block, from the pre-tokens that this task has; the documents' own rows pass."""
-    open_sums: dict[int, np.ndarray] = {}
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sums", pa.binary()), ("doc_ids", longs), ("sizes", longs)])
-
-    def flush() -> pa.RecordBatch:
-        rows = [(b, np.flatnonzero(s)) for b, s in open_sums.items()]
-        columns = [[b for b, _ in rows], [at.astype("<u2").tobytes() for _, at in rows], [open_sums[b][at].tobytes() for b, at in rows], [None] * len(rows), [None] * len(rows)]
-        open_sums.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if len(heads := table.filter(pa.compute.is_valid(table["doc_ids"]))):
-            nothing = pa.nulls(len(heads), pa.binary())
-            columns = [heads["block"].combine_chunks(), nothing, nothing, heads["doc_ids"].combine_chunks().cast(longs), heads["sizes"].combine_chunks().cast(longs)]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
-            table = table.filter(pa.compute.is_null(table["doc_ids"]))
-        for begin in range(0, len(table), 1000):
-            part = table.slice(begin, 1000)
-            packed = part["places"].to_pylist()
-            entries = np.frombuffer(b"".join(packed), dtype="<u4")
-            each = np.fromiter((len(p) >> 2 for p in packed), np.int64, len(packed))
-            known, at = np.unique(part["block"].to_numpy(), return_inverse=True)
-            tokens = (entries >> 16) * np.repeat(part["n"].to_numpy().astype(np.float64), each)  # exact: under 2 ** 53
-            where = np.repeat(at * BLOCK_ROWS, each) + (entries & 0xFFFF)
-            sums = np.bincount(where, tokens, len(known) * BLOCK_ROWS).astype(np.int64)
-            for b, own in zip(known.tolist(), sums.reshape(-1, BLOCK_ROWS)):
-                open_sums[b] = open_sums[b] + own if b in open_sums else own.copy()
-            if len(open_sums) > OPEN_BLOCKS:
-                yield flush()
-    yield flush()
-
-
-def _assemble(key: tuple, part: pa.Table) -> pa.Table:
-    ids = sizes = None
-    total = np.zeros(BLOCK_ROWS, np.int64)
-    for row in part.to_pylist():
-        if row["doc_ids"] is not None:
-            ids, sizes = row["doc_ids"], row["sizes"]
-        else:
-            total[np.frombuffer(row["places"], "<u2")] += np.frombuffer(row["sums"], np.int64)
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": total[: len(ids)]})
-
-
 def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for each row of docs.
 
@@ -161,8 +59,7 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     Special strings inside a text are one token each, as the library has it by default.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    frequencies = rows.mapInArrow(_frequencies, FREQUENCIES)
-    pieces = rows.select(F.col("_id"), F.col("_text")).mapInArrow(_distinct, "pretoken binary").distinct()
-    pieces = pieces.mapInArrow(_counter(tokenizer), "pretoken binary, n long")
-    summed = frequencies.join(pieces, "pretoken", "left").select("block", "places", "n", "doc_ids", "sizes").mapInArrow(_sum, SUMS)
-    return summed.groupBy("block").applyInArrow(_assemble, COUNTS)
+    pieces = rows.mapInArrow(_distinct, "word binary").distinct().mapInArrow(_pieces(tokenizer), "word binary, v array<double>")
+    sizes = lambda texts: np.array([[len(t)] for t in texts])
+    found = weigh(rows, pieces, 1, bytes.split, sizes)
+    return found.select("doc_id", F.col("own")[0].cast("long").alias("n_bytes"), F.col("sums")[0].cast("long").alias("n_tokens"))
