@@ -24,6 +24,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwork.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 #: What a turn of a conversation is called with, when it is written as a call of a tool.
 REPLY_SCHEMAS = {
     "reply": {
