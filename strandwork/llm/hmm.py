@@ -163,7 +163,7 @@ def likelihoods(model: Model, rows: list[np.ndarray]) -> np.ndarray:
 def _encoded(top: list[bytes]) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(top)
-        for _, _, texts in blocks(batches):
+        for _, _, texts, _ in blocks(batches):
             packed = [np.append(classes.of(t), np.uint16(END)).astype("<u2").tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["classes"])
 
@@ -241,7 +241,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     training = rows.where(~held)
     counts, counts_path = written(word_counts(training, words))
     n_docs = training.count()
-    top = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(TOP).collect()]  # a fixed number of words
+    top_rows = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()  # a fixed number of words
+    top = [bytes(r["word"]) for r in top_rows]
     kinds = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_train, n_kinds = (kinds["n"] or 0) + n_docs, kinds["v"] + (n_docs > 0)
     base_total = np.log10(n_train + ADDED * (n_kinds + 1))
@@ -259,44 +260,42 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         model = Model(starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(1, keepdims=True))
     drop(spark, sequences_path)
 
-    top_words = {w: k for k, w in enumerate(top)}
+    top_counts = {bytes(r["word"]): r["n"] for r in top_rows}
 
     def tail_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((TAIL, 2))
         for batch in batches:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word not in top_words:
+                if word not in top_counts:
                     total[zlib.crc32(word[-2:]) % TAIL] += n, 1
         yield _rows(list(total))
 
     tails = _added(counts.select("word", "n"), tail_classes, TAIL)
     tails = np.stack([tails[k] for k in range(TAIL)]) if tails else np.zeros((TAIL, 2))
-    class_total = np.log10(tails[:, 0] + ADDED * (tails[:, 1] + 1))
+    class_total = np.zeros(CLASSES)
+    class_total[TOP:END] = np.log10(tails[:, 0] + ADDED * (tails[:, 1] + 1))
 
-    def weights(word: bytes, n: float) -> list[float]:
-        """What each occurrence adds: known tokens, to the base, to the chance of words in their classes."""
-        share = 0.0 if word in top_words else np.log10(n + ADDED) - class_total[zlib.crc32(word[-2:]) % TAIL]
-        return [float(n > 0), np.log10(n + ADDED) - base_total, share]
+    # What each occurrence of a word adds: known tokens, to the base, to the chance of words in their classes.
+    def known() -> Callable[[bytes, float], list[float] | None]:
+        settled = {w: [1.0, float(np.log10(n + ADDED)), 0.0] for w, n in top_counts.items()}
+        return lambda word, _: settled.get(word)
 
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = [weights(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.list_(pa.float64()))], names=["word", "v"])
+    def value() -> Callable[[list[bytes], np.ndarray], np.ndarray]:
+        return lambda _, n: np.stack([n > 0, np.log10(n + ADDED), np.log10(n + ADDED)], axis=1)
 
     def describe(texts: list[bytes]) -> np.ndarray:
         classes = Classes(top)
-        rows = [np.append(classes.of(t), np.uint16(END)) for t in texts]
-        return np.stack([[len(r) for r in rows], likelihoods(model, rows)], axis=1)
+        found = [np.append(classes.of(t), np.uint16(END)) for t in texts]
+        return np.stack([[len(r) for r in found], likelihoods(model, found), [class_total[r].sum() for r in found]], axis=1)
 
-    table = counts.select("word", "n").mapInArrow(values, "word binary, v array<double>")
-    out = weigh(rows, table, 3, words, describe, lambda w: weights(w, 0))
-    end = float(np.log10(n_docs + ADDED) - base_total)
+    out = weigh(rows.withColumn("_counted", ~held), 3, words, describe, value, known)
+    end = float(np.log10(n_docs + ADDED))
     return out.select(
         "doc_id",
         (F.pmod(crc_of_id(), F.lit(folds)) == 0).alias("held_out"),
         F.col("own")[0].cast("long").alias("n_tokens"),
         (F.col("sums")[0].cast("long") + (1 if n_docs else 0)).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("sums")[1] + F.lit(end)).alias("base_score"),
-        (F.col("own")[1] + F.col("sums")[2]).alias("score"),
+        (F.col("sums")[1] + F.lit(end) - F.col("own")[0] * F.lit(float(base_total))).alias("base_score"),
+        (F.col("own")[1] + F.col("sums")[2] - F.col("own")[2]).alias("score"),
     )

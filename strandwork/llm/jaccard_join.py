@@ -86,7 +86,7 @@ def _first_pass(size: int):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
-        for _, ids, texts in blocks(batches):
+        for _, ids, texts, _ in blocks(batches):
             sets = [shingles.of(t) for t in texts]
             names = [name_of(s) if len(s) else None for s in sets]
             least = max(2, len(texts) * 2 // COMMON_SHARE // 2)
@@ -113,7 +113,7 @@ def _dealt(size: int, ranges: int, common: np.ndarray):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         width = (1 << 64) // ranges + 1
-        for number, _, texts in blocks(batches):
+        for number, _, texts, _ in blocks(batches):
             own = {name_of(s): s for s in (shingles.of(t) for t in texts) if len(s)}
             names, sizes = np.array(list(own), np.int64), np.array([len(s) for s in own.values()], "<u4")
             hashes = np.concatenate([*own.values(), np.zeros(0, _U8)])

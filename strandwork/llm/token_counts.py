@@ -7,50 +7,61 @@ it, so a document has exactly as many tokens as its pre-tokens have together. No
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm.weighing import OPEN_WORDS, blocks, weigh
+from strandwork.llm.weighing import weigh
 
+#: A pre-token in one of so many documents of a block is counted there, once a task, and not dealt out.
+COMMON_SHARE = 64
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each pre-token of a task, once as long as the set that it keeps is not full."""
-    seen: set[bytes] = set()
 
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary())], names=["word"])
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    for _, _, texts in blocks(batches):
-        for text in texts:
-            seen.update(text.split())
-            if len(seen) > OPEN_WORDS:
-                yield rows()
-                seen.clear()
-    yield rows()
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
-def _pieces(path: str):
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+_LOADED: dict = {}
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        for batch in batches:
-            words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            n = []
-            for at in range(0, len(words), 2000):
-                n += [[float(len(e))] for e in tokenizer.encode_batch_fast(words[at : at + 2000], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.list_(pa.float64()))], names=["word", "v"])
+
+def _pieces(path: str) -> Callable[[list[bytes], np.ndarray], np.ndarray]:
+    """Pieces of each word."""
+    if path not in _LOADED:
+        _LOADED[path] = _tokenizer(path)
+
+    def pieces(words: list[bytes], _: np.ndarray | None = None) -> np.ndarray:
+        out = np.zeros(len(words))
+        for at in range(0, len(words), 2000):
+            part = [w.decode("utf-8", "replace") for w in words[at : at + 2000]]
+            out[at : at + 2000] = [len(e) for e in _LOADED[path].encode_batch_fast(part, add_special_tokens=False)]
+        return out
 
     return pieces
 
 
+def _common(path: str) -> Callable[[bytes, float], list[float] | None]:
+    pieces, counted = _pieces(path), {}
+
+    def known(word: bytes, share: float) -> list[float] | None:
+        if share * COMMON_SHARE < 1:
+            return None
+        if word not in counted:
+            if len(counted) > 100_000:
+                counted.clear()
+            counted[word] = pieces([word]).tolist()
+        return counted[word]
+
+    return known
+
+
 def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for each row of docs.
 
@@ -59,7 +70,6 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     Special strings inside a text are one token each, as the library has it by default.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    pieces = rows.mapInArrow(_distinct, "word binary").distinct().mapInArrow(_pieces(tokenizer), "word binary, v array<double>")
     sizes = lambda texts: np.array([[len(t)] for t in texts])
-    found = weigh(rows, pieces, 1, bytes.split, sizes)
+    found = weigh(rows, 1, bytes.split, sizes, lambda: _pieces(tokenizer), lambda: _common(tokenizer))
     return found.select("doc_id", F.col("own")[0].cast("long").alias("n_bytes"), F.col("sums")[0].cast("long").alias("n_tokens"))

@@ -1,15 +1,20 @@
-"""Sums over the words of documents of what a table holds for each distinct word.
+"""Sums over the words of documents of what is known of each distinct word.
 
-The documents are read in blocks of a bounded number of rows and bytes. A block gives one row per distinct word, with
-the places of the documents that hold it and how often, packed in four bytes each. Those rows, not documents, are joined
-to the table, so a word of every document is one row a block; the join is left for Spark to plan and to split where a
-word is hot. After it each task adds up what its words give the documents of each block, and a block's sums meet.
+The documents are read in blocks of a bounded number of rows and bytes. A block packs its distinct words, each with the
+places of the documents that hold it and how often, in four bytes a document, and deals them out by a hash of the word.
+Where a word arrives from all blocks it is looked at once, and what it gives each document of a block is added up; at
+last a block's sums meet. So this is a partitioned hash join of words to the documents' word frequencies.
+
+A word of many documents is one entry a block before anything is dealt out. Words that a caller knows at once, such as
+the few that a large share of documents hold, are settled in their block and not dealt out.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,25 +25,27 @@ from pyspark.sql import functions as F
 
 #: Documents and bytes of text in a block.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 32 << 20
-#: Blocks whose sums a task holds before it passes them on, and rows that it adds up at a time.
-OPEN_BLOCKS, ROWS = 256, 500
+#: Bytes of text whose words meet in one place, about.
+DEALT_BYTES = 8 << 20
 #: Distinct words that a task holds before it passes them on.
 OPEN_WORDS = 400_000
 
 _LONGS, _DOUBLES = pa.list_(pa.int64()), pa.list_(pa.float64())
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
-    """(block number, ids, texts as bytes) of bounded size, numbered apart between tasks; null texts are empty."""
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes], list]]:
+    """(block number, ids, texts as bytes, third column if there is one) of bounded size, numbered apart between tasks;
+    null texts are empty."""
     number = TaskContext.get().partitionId() << 31
     for batch in batches:
         ids = batch.column(0).to_pylist()
         texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        more = batch.column(2).to_pylist() if batch.num_columns > 2 else [True] * len(ids)
         begin = size = 0
         for i, text in enumerate(texts):
             size += len(text)
             if i + 1 == len(texts) or i + 1 - begin == BLOCK_ROWS or size >= BLOCK_BYTES:
-                yield number, ids[begin : i + 1], texts[begin : i + 1]
+                yield number, ids[begin : i + 1], texts[begin : i + 1], more[begin : i + 1]
                 number, begin, size = number + 1, i + 1, 0
 
 
@@ -52,7 +59,7 @@ def word_counts(rows: DataFrame, split: Callable[[bytes], list[bytes]]) -> DataF
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
         held: Counter = Counter()
-        for _, _, texts in blocks(batches):
+        for _, _, texts, _ in blocks(batches):
             for text in texts:
                 held.update(split(text))
                 if len(held) > OPEN_WORDS:
@@ -65,28 +72,32 @@ def word_counts(rows: DataFrame, split: Callable[[bytes], list[bytes]]) -> DataF
 
 def weigh(
     rows: DataFrame,
-    values: DataFrame,
     width: int,
     split: Callable[[bytes], list[bytes]],
     describe: Callable[[list[bytes]], np.ndarray],
-    default: Callable[[bytes], list[float]] | None = None,
+    value: Callable[[], Callable[[list[bytes], np.ndarray], np.ndarray]],
+    known: Callable[[], Callable[[bytes, float], list[float] | None]],
 ) -> DataFrame:
-    """(doc_id, own array<double>, sums array<double>) for each row (id, text) of rows.
+    """(doc_id, own array<double>, sums array<double>) for each row (id, text[, counted boolean]) of rows.
 
-    values: (word binary, v array<double> of `width`), one row a word. sums adds v over the words of the text as often
-    as they occur; a word that values lacks counts as default(word). own is describe()'s row for the text, given the
-    texts of a block at a time. Repeated rows and null ids each keep their row.
+    sums adds `width` numbers over the words of the text as often as they occur. value() is called once a task and gives
+    a function of distinct words and of how often each occurs in all counted rows, which returns a row of numbers a word;
+    known() one of a word and the share of the block's documents that hold it, for words that need no count, or None.
+    own is describe()'s row for the text, given the texts of a block at a time. Repeated rows and null ids keep their row.
     """
-    frequency = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("places", pa.binary()), ("ids", _LONGS), ("own", _DOUBLES)])
-    partial = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sums", pa.binary()), ("ids", _LONGS), ("own", _DOUBLES)])
+    size = rows.agg(F.sum(F.octet_length(rows.columns[1]))).first()[0] or 0
+    parts = max(1, -(-size // DEALT_BYTES))
+    packed = pa.schema([("part", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("words", "lengths", "each", "entries")), ("ids", _LONGS), ("own", _DOUBLES)])
+    summed = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sums", pa.binary()), ("ids", _LONGS), ("own", _DOUBLES)])
+    columns = "part long, block long, words binary, lengths binary, each binary, entries binary, ids array<long>, own array<double>"
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of each block: its documents first, under no word, then its words."""
-        for number, ids, texts in blocks(batches):
-            own = np.asarray(describe(texts), np.float64).reshape(-1)
-            yield _batch(frequency, [number], [None], [None], [ids], [own])
+        """The rows of each block: its documents with what is known at once, then its words by part."""
+        at_once = known()
+        for number, ids, texts, counted in blocks(batches):
             held: dict[bytes, list[int]] = {}
-            for place, text in enumerate(texts):
+            for place, (text, counts) in enumerate(zip(texts, counted)):
+                place |= bool(counts) << 12
                 for word, n in Counter(split(text)).items():
                     row = held.get(word)
                     if row is None:
@@ -95,52 +106,54 @@ def weigh(
                         row.append(place | 0xFFFF0000)
                         n -= 0xFFFF
                     row.append(place | n << 16)
-            words = list(held)
-            places = [np.array(row, dtype="<u4").tobytes() for row in held.values()]
+            sums = np.zeros((BLOCK_ROWS, width))
+            dealt = []
+            for word, row in held.items():
+                v = at_once(word, len(row) / len(texts))
+                if v is None:
+                    dealt.append((zlib.crc32(word) % parts, word, row))
+                else:
+                    entries = np.array(row, "<u4")
+                    np.add.at(sums, entries & 0xFFF, (entries >> 16)[:, None] * np.array(v))
             del held
-            for at in range(0, len(words), 20_000):
-                part = words[at : at + 20_000]
-                nothing = [None] * len(part)
-                yield _batch(frequency, np.full(len(part), number), part, places[at : at + 20_000], nothing, nothing)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What this task's words give each document of a block; the documents' own rows pass."""
-        held: dict[int, np.ndarray] = {}
-
-        def flush() -> pa.RecordBatch:
-            there = [(b, np.flatnonzero(s.any(axis=1))) for b, s in held.items()]
-            nothing = [None] * len(there)
-            out = _batch(partial, [b for b, _ in there], [at.astype("<u2").tobytes() for _, at in there], [held[b][at].tobytes() for b, at in there], nothing, nothing)
-            held.clear()
-            return out
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if len(heads := table.filter(pc.is_valid(table["ids"]))):
-                none = pa.nulls(len(heads), pa.binary())
-                yield _batch(partial, heads["block"].combine_chunks(), none, none, heads["ids"].combine_chunks().cast(_LONGS), heads["own"].combine_chunks().cast(_DOUBLES))
-                table = table.filter(pc.is_null(table["ids"]))
-            for begin in range(0, len(table), ROWS):
-                part = table.slice(begin, ROWS)
-                packed = part["places"].to_pylist()
-                entries = np.frombuffer(b"".join(packed), dtype="<u4")
-                each = np.fromiter((len(p) >> 2 for p in packed), np.int64, len(packed))
-                known, at = np.unique(part["block"].to_numpy(), return_inverse=True)
-                v = part["v"].to_pylist()
-                if None in v:
-                    v = [x if x is not None else default(w) for x, w in zip(v, part["word"].to_pylist())]
-                v = np.array(v, np.float64)
-                where = np.repeat(at * BLOCK_ROWS, each) + (entries & 0xFFFF)
-                n = (entries >> 16).astype(np.float64)
-                sums = np.stack([np.bincount(where, n * np.repeat(v[:, k], each), len(known) * BLOCK_ROWS) for k in range(width)], axis=1)
-                for b, own in zip(known.tolist(), sums.reshape(-1, BLOCK_ROWS, width)):
-                    if b in held:
-                        held[b] += own
-                    else:
-                        held[b] = own.copy()
-                if len(held) > OPEN_BLOCKS:
-                    yield flush()
-        yield flush()
+            own = np.asarray(describe(texts), np.float64)
+            own = np.concatenate([own, sums[: len(texts)]], axis=1)
+            yield _batch(packed, [number % parts], [number], [None], [None], [None], [None], [ids], [own.reshape(-1)])
+            dealt.sort(key=lambda d: d[0])
+            out = []
+            for part, group in groupby(dealt, key=lambda d: d[0]):
+                _, words, entries = zip(*group)
+                lengths, each = np.fromiter(map(len, words), "<u4", len(words)), np.fromiter(map(len, entries), "<u4", len(words))
+                flat = np.fromiter(chain.from_iterable(entries), "<u4", int(each.sum()))
+                out.append((part, number, b"".join(words), lengths.tobytes(), each.tobytes(), flat.tobytes(), None, None))
+                if len(out) == 500:
+                    yield _batch(packed, *zip(*out))
+                    out = []
+            if out:
+                yield _batch(packed, *zip(*out))
+
+    def settle(key: tuple, part: pa.Table) -> pa.Table:
+        """What the words of a part give the documents of each block; the blocks' documents pass."""
+        index: dict[bytes, int] = {}
+        found, heads = [], part.filter(pc.is_valid(part["ids"]))
+        for row in part.filter(pc.is_null(part["ids"])).select(["block", "words", "lengths", "each", "entries"]).to_pylist():
+            ends = np.cumsum(np.frombuffer(row["lengths"], "<u4")).tolist()
+            text, begin, at = row["words"], 0, []
+            for end in ends:
+                at.append(index.setdefault(text[begin:end], len(index)))
+                begin = end
+            found.append((row["block"], np.repeat(at, np.frombuffer(row["each"], "<u4")), np.frombuffer(row["entries"], "<u4")))
+        total = np.zeros(len(index))
+        for _, at, entries in found:
+            total += np.bincount(at, (entries >> 16) * (entries >> 12 & 1).astype(np.float64), len(index))
+        v = np.asarray(value()(list(index), total), np.float64).reshape(-1, width)
+        rows = [(r["block"], None, None, r["ids"], r["own"]) for r in heads.select(["block", "ids", "own"]).to_pylist()]
+        for block, at, entries in found:
+            n, place = (entries >> 16).astype(np.float64), entries & 0xFFF
+            sums = np.stack([np.bincount(place, n * v[at, k], BLOCK_ROWS) for k in range(width)], axis=1)
+            there = np.unique(place)
+            rows.append((block, there.astype("<u2").tobytes(), sums[there].tobytes(), None, None))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), summed)], schema=summed)
 
     def assemble(key: tuple, part: pa.Table) -> pa.Table:
         ids = own = None
@@ -151,9 +164,8 @@ def weigh(
             else:
                 total[np.frombuffer(row["places"], "<u2")] += np.frombuffer(row["sums"], np.float64).reshape(-1, width)
         own = np.array(own).reshape(len(ids), -1)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "own": pa.array(list(own), _DOUBLES), "sums": pa.array(list(total[: len(ids)]), _DOUBLES)})
+        total = total[: len(ids)] + own[:, -width:]
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "own": pa.array(list(own[:, :-width]), _DOUBLES), "sums": pa.array(list(total), _DOUBLES)})
 
-    found = rows.mapInArrow(frequencies, "block long, word binary, places binary, ids array<long>, own array<double>")
-    joined = found.join(values.select("word", "v"), "word", "left").select("block", "word", "places", "ids", "own", "v")
-    summed = joined.mapInArrow(add, "block long, places binary, sums binary, ids array<long>, own array<double>")
-    return summed.groupBy("block").applyInArrow(assemble, "doc_id long, own array<double>, sums array<double>")
+    settled = rows.mapInArrow(frequencies, columns).groupBy("part").applyInArrow(settle, "block long, places binary, sums binary, ids array<long>, own array<double>")
+    return settled.groupBy("block").applyInArrow(assemble, "doc_id long, own array<double>, sums array<double>")
