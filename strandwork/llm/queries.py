@@ -31,6 +31,20 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwork.llm.vector_search import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwork.llm.vector_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 #: What a turn of a conversation is called with, when it is written as a call of a tool.
 REPLY_SCHEMAS = {
     "reply": {
