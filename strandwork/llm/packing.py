@@ -11,9 +11,10 @@ padding.
 from __future__ import annotations
 
 import heapq
+import json
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,16 +29,27 @@ WINDOW_ROWS, WINDOW_BYTES = 4096, 64 << 20
 #: Sequences that are looked at for a whole tail before it is cut.
 LOOK = 16
 #: Distinct words whose ids a task remembers.
-MEMO = 400_000
-
-#: A space that can't be cut before: one beside other white space or at an end of the text.
-_JOINED = re.compile(r"(?:\s | \s|^ | $)")
+MEMO = 800_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _byte_of() -> dict[str, int]:
+    """The character that a byte-level vocabulary writes each byte as: itself where it prints, else the next from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
 class Ids(dict):
-    """The bytes of a chunk's ids, little-endian 32 bit, by chunk: a space and what follows up to the next."""
+    """The bytes of a chunk's ids, little-endian 32 bit, by chunk: what stands between two spaces, with the first.
+
+    The file's own library gives the ids. Where its merges are in the order of its ids, a quicker encoder of the same
+    vocabulary takes the chunks of Latin letters without special strings.
+    """
+
+    #: Up to here all libraries agree on what is a letter.
+    LATIN = "\u024f"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,31 +58,57 @@ class Ids(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.quick = self._quick(json.loads(self.tokenizer.to_str()))
+        self.odd = False
+
+    @staticmethod
+    def _quick(file: dict):
+        import tiktoken
+
+        model, step = file["model"], file["pre_tokenizer"] or {}
+        known = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and not file["normalizer"]
+        vocabulary = model["vocab"]
+        merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model.get("merges", [])]
+        if not known or model["type"] != "BPE" or merged != sorted(merged):
+            return None
+        added = {t["content"] for t in file["added_tokens"]}
+        byte = _byte_of()
+        ranks = {bytes([byte[c] for c in token]): i for token, i in vocabulary.items() if token not in added}
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        return tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+    def encode(self, text: str) -> bytes:
+        if self.quick and max(text, default="") <= self.LATIN and not any(s in text for s in self.special):
+            ids = self.quick(text)
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        packed = b"".join([i.to_bytes(4, "little") for i in ids])
-        if len(self) >= MEMO:
-            self.clear()
-        if len(chunk) <= 64:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():  # white space beside the space
+            self.odd = True
+            return b""
+        packed = self.encode(" " + chunk)
+        if len(self) < MEMO and len(chunk) <= 64:
             self[chunk] = packed
         return packed
 
     def of(self, text: str) -> bytes:
         """A byte-level tokenizer takes at most one space with a word, so a text can be cut before each single space
         that stands between two characters that aren't white space."""
-        chunks = text.split(" ")
-        if _JOINED.search(text):
-            merged = [chunks[0]]
-            for chunk in chunks[1:]:
-                last = merged[-1][-1:]
-                if chunk == "" or chunk[0].isspace() or last == "" or last.isspace():
-                    merged[-1] += " " + chunk
-                else:
-                    merged.append(chunk)
-            chunks = merged
-        first = self[chunks[0]] if chunks[0] else b""
-        return first + b"".join([self[" " + c] for c in chunks[1:]])
+        first, *chunks = text.split(" ")
+        self.odd = not first or first[-1].isspace()
+        packed = b"".join(map(self.__getitem__, chunks))
+        if not self.odd:
+            return self.encode(first) + packed
+        merged = [first]
+        for chunk in chunks:
+            if not chunk or chunk[0].isspace() or not merged[-1] or merged[-1][-1].isspace():
+                merged[-1] += " " + chunk
+            else:
+                merged.append(chunk)
+        return self.encode(merged[0]) + b"".join([self.encode(" " + c) if c[-1].isspace() else self[c] for c in merged[1:]])
 
 
 def assign(tails: list[int], capacity: int) -> list[list[tuple[int, int, int, int]]]:
