@@ -306,3 +306,18 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, doc_id
     out, _ = written(out)
     drop(spark, *paths, read_path)
     return out
+
+
+def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, whole, that stand for their component: the one with its smallest id. Of repeated rows of that id
+    one stays. Rows with a null id can't be told apart and all stay."""
+    found = jaccard_components(docs, size, percent, doc_id, text)
+    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_stays")
+    kept = docs.join(stay, F.col(doc_id) == F.col("_stays"))
+    single = kept.where("_rows = 1").drop("_stays", "_rows")
+    if not stay.where("_rows > 1").isEmpty():
+        single = single.union(kept.where("_rows > 1").drop("_stays", "_rows").dropDuplicates([doc_id]))
+    nameless = docs.where(F.col(doc_id).isNull())
+    if not nameless.isEmpty():
+        single = single.union(nameless)
+    return single

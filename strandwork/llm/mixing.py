@@ -133,3 +133,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, do
         return part.drop(columns=["_rate", "_tie", "_group"]).assign(copies=n)
 
     return rated.groupBy(source, "_group").applyInPandas(copy, schema)
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    columns = docs.columns
+    return mix(docs, weights, most).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)

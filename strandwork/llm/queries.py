@@ -24,6 +24,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: From this score on a text counts as toxic.
+TOXIC = 0.7
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwork.llm.common import crc_of_id
+    from strandwork.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    held = F.pmod(crc_of_id(), F.lit(3)) == 1
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 @query
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandwork.llm.jaccard_join import jaccard_components
