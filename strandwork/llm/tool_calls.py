@@ -1,8 +1,8 @@
 """Linking tool calls to their results. DataFrame operations only.
 
-Calls and results meet in a hash join on the call's identifier. Calls are put in topological order by rounds: a round
-takes the calls whose last missing dependency got its place in the round before, so all rounds together touch each
-dependency once. Arguments are parsed as variants and held against their tool's schema. Call and result are written as
+Calls and results meet in a hash join on the call's identifier. Calls are put in topological order: by looking twice as far
+up its chain in each round where no call needs more than one other, else by rounds that take the calls whose last
+missing dependency got its place in the round before. Arguments are parsed as variants and held against their tool's schema. Call and result are written as
 canonical JSON: keys in code-point order, no white space.
 """
 
@@ -28,10 +28,40 @@ VARIANT_TYPES = {
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (id) with level: 0 without edges, else one more than the highest level that it needs; null for whatever
     lies on or behind a cycle, or needs what isn't there. edges: (id, needs)."""
+    edges, _ = written(edges.select("id", "needs").distinct())
+    nodes = nodes.select("id").distinct()
+    if edges.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return _chain_levels(nodes, edges)
+    return _round_levels(nodes, edges)
+
+
+def _chain_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """levels() where nothing needs more than one. Every node looks twice as far up its chain in each round, so a chain
+    of n takes log2(n) rounds."""
+    spark = nodes.sparkSession
+    there = nodes.select(F.col("id").alias("needs"), F.lit(True).alias("there"))
+    known = edges.join(there, "needs", "left")
+    state = nodes.join(known, "id", "left")
+    # at: the node that dist steps lead to; null once the chain has ended. A chain to what isn't there never ends.
+    lost = F.col("needs").isNotNull() & F.col("there").isNull()
+    state = state.select("id", F.when(lost, F.col("id")).otherwise(F.col("needs")).alias("at"), F.when(F.col("needs").isNull(), 0).otherwise(1).alias("dist"))
+    state, path = written(state)
+    rounds = max(1, nodes.count()).bit_length()
+    for _ in range(rounds):
+        if state.where("at is not null").isEmpty():
+            break
+        further = state.select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("dist").alias("dist2"))
+        moved = state.where("at is not null").join(further, "at").select("id", F.col("at2").alias("at"), (F.col("dist") + F.col("dist2")).alias("dist"))
+        moved, next_path = written(state.where("at is null").select("id", "at", "dist").union(moved))
+        drop(spark, path)
+        state, path = moved, next_path
+    return state.select("id", F.when(F.col("at").isNull(), F.col("dist")).cast("int").alias("level"))
+
+
+def _round_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
-    edges, edges_path = written(edges.select("id", "needs").distinct())
     missing = edges.groupBy("id").agg(F.count("*").alias("open"))
-    state, path = written(nodes.select("id").distinct().join(missing, "id", "left").select("id", F.coalesce("open", F.lit(0)).alias("open")))
+    state, path = written(nodes.join(missing, "id", "left").select("id", F.coalesce("open", F.lit(0)).alias("open")))
     done, done_paths, k = None, [], 0
     while True:
         ready, ready_path = written(state.where("open = 0").select("id", F.lit(k).alias("level")))
