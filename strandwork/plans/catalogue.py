@@ -2,5 +2,470 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandwork.functions import draws, headers
+from strandwork.operators import checks, contigs, join, mates, rename, sample
+from strandwork.plans.mates_view import everyone, side, sql_sides
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+RECORD = ("header", "seq", "plus", "qual")
+NEAR, FAR = "(idx // 2)", "(idx % (SELECT greatest(count(*) // 2, 1) FROM merged))"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def mates_sql(body: str, more: str = "") -> str:
+    return f"WITH {sql_sides()}{', ' + more if more else ''}\n{body}"
+
+
+# --- re-pairing
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return join.pair(side(spark, sf_dir, 1), side(spark, sf_dir, 2))
+
+
+_PAIRS = """SELECT r1.id, r1.idx AS i1, r2.idx AS i2, greatest(2 * r1.idx, 2 * r2.idx + 1) AS done_at,
+  r1.header AS header1, r1.seq AS seq1, r1.qual AS qual1, r2.header AS header2, r2.seq AS seq2, r2.qual AS qual2 FROM r1 JOIN r2 USING (id)"""
+_PAIR_COLUMNS = ("id", "i1", "i2", "done_at", "header1", "seq1", "qual1", "header2", "seq2", "qual2")
+
+
+@query(mates_sql(_PAIRS))
+def pair_pairs(spark, sf_dir):
+    return _paired(spark, sf_dir)[0].select(*_PAIR_COLUMNS)
+
+
+@query(mates_sql("SELECT idx, id, header, seq FROM r1 ANTI JOIN r2 USING (id)"))
+def pair_orphans1(spark, sf_dir):
+    return _paired(spark, sf_dir)[1].select("idx", "id", "header", "seq")
+
+
+@query(mates_sql("SELECT idx, id, header, seq FROM r2 ANTI JOIN r1 USING (id)"))
+def pair_orphans2(spark, sf_dir):
+    return _paired(spark, sf_dir)[2].select("idx", "id", "header", "seq")
+
+
+@query(
+    mates_sql(
+        """SELECT count(*) FILTER (r1.id IS NOT NULL AND r2.id IS NOT NULL) AS pairs, count(*) FILTER (r2.id IS NULL) AS orphans1,
+  count(*) FILTER (r1.id IS NULL) AS orphans2, count(r1.id) AS n1, count(r2.id) AS n2 FROM r1 FULL JOIN r2 ON r1.id = r2.id"""
+    )
+)
+def pair_stats(spark, sf_dir):
+    return join.stats(join.matched(side(spark, sf_dir, 1), side(spark, sf_dir, 2)))
+
+
+@query(mates_sql(_PAIRS.replace("r2.idx", "((SELECT max(idx) FROM r2) - r2.idx)")))
+def pair_reversed(spark, sf_dir):
+    r2 = side(spark, sf_dir, 2)
+    last = F.broadcast(r2.agg(F.max("idx").alias("_last")))  # one row
+    r2 = r2.crossJoin(last).withColumn("idx", F.col("_last") - F.col("idx")).drop("_last")
+    return join.pair(side(spark, sf_dir, 1), r2)[0].select(*_PAIR_COLUMNS)
+
+
+def _lineitem_reads(spark, sf_dir, line: int) -> DataFrame:
+    """Line items as reads named by order and line, a name that repeats. Numbered by their values, so both engines agree."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(f"l_linenumber % 3 <> {line % 3}")
+    named = items.select(F.concat(F.lit("@L"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("header"), "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    place = F.xxhash64("header") * 0 + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")
+    return named.select(place.alias("idx"), "header", F.lit("A").alias("seq"), F.lit("+").alias("plus"), F.lit("I").alias("qual"))
+
+
+_DUP = """WITH reads AS (SELECT l_linenumber, l_orderkey || '-' || l_linenumber AS id, l_partkey * 1000000 + l_suppkey AS idx FROM lineitem),
+ r1 AS (SELECT id, min(idx) AS first, count(*) AS n FROM reads WHERE l_linenumber % 3 <> 1 GROUP BY id),
+ r2 AS (SELECT id, min(idx) AS first, count(*) AS n FROM reads WHERE l_linenumber % 3 <> 2 GROUP BY id)
+ SELECT coalesce(r1.id, r2.id) AS id, r1.first AS first1, r2.first AS first2, coalesce(r1.n, 0) AS n1, coalesce(r2.n, 0) AS n2,
+ CASE WHEN r1.id IS NOT NULL AND r2.id IS NOT NULL THEN 1 ELSE 0 END AS pairs,
+ coalesce(r1.n, 0) + coalesce(r2.n, 0) - 2 * CASE WHEN r1.id IS NOT NULL AND r2.id IS NOT NULL THEN 1 ELSE 0 END AS orphans FROM r1 FULL JOIN r2 ON r1.id = r2.id"""
+
+
+@query(_DUP)
+def pair_duplicates_first(spark, sf_dir):
+    """Names that repeat on a side: the first is paired, the rest are orphans, nothing is lost."""
+    both = join.matched(_lineitem_reads(spark, sf_dir, 1), _lineitem_reads(spark, sf_dir, 2))
+    paired = F.col("i1").isNotNull() & F.col("i2").isNotNull()
+    return both.groupBy("id").agg(
+        F.min("i1").alias("first1"), F.min("i2").alias("first2"), F.count("i1").alias("n1"), F.count("i2").alias("n2"),
+        F.count_if(paired).cast("int").alias("pairs"), F.count_if(~paired).alias("orphans"),
+    )
+
+
+# --- sampling
+
+_U = "18446744073709551616::UHUGEINT"
+
+
+def _mix_sql(k: str, seed: int = 42) -> str:
+    """The draw's bits for the row number k, as UBIGINT, in nested subqueries."""
+    z = f"((({seed}::UHUGEINT) + ({k})::UHUGEINT * {draws.GAMMA}::UHUGEINT) % {_U})::UBIGINT"
+    one = f"list_transform([{z}], lambda z: ((xor(z, z >> {draws.SHIFT_1}))::UHUGEINT * {draws.MIX_1}::UHUGEINT % {_U})::UBIGINT)"
+    two = f"list_transform({one}, lambda z: ((xor(z, z >> {draws.SHIFT_2}))::UHUGEINT * {draws.MIX_2}::UHUGEINT % {_U})::UBIGINT)"
+    return f"list_transform({two}, lambda z: xor(z, z >> {draws.SHIFT_3}))[1]"
+
+
+def _draw_sql(k: str, seed: int = 42) -> str:
+    return f"(({_mix_sql(k, seed)} >> 11)::DOUBLE * power(2::DOUBLE, -53))"
+
+
+def _reservoir_sql(rows: str, n: int, seed: int) -> str:
+    slot = f"(({_mix_sql(f'idx - {n} + 1', seed)})::UHUGEINT * (idx + 1)::UHUGEINT // {_U})::HUGEINT"
+    return f"(SELECT max(idx) AS idx FROM (SELECT idx, CASE WHEN idx < {n} THEN idx::HUGEINT ELSE {slot} END AS slot FROM {rows}) WHERE slot < {n} GROUP BY slot)"
+
+
+@query(f"SELECT event_id AS idx, {_draw_sql('event_id')} AS draw FROM events")
+def draw_values(spark, sf_dir):
+    with draws.wrapping(spark):
+        return everyone(spark, sf_dir, 1).select("idx", draws.draw(42, F.col("idx")).alias("draw"))
+
+
+@query(mates_sql(f"SELECT idx, header, seq, qual FROM r1 WHERE {_draw_sql('idx')} <= 0.25"))
+def sample_p(spark, sf_dir):
+    return sample.proportion(side(spark, sf_dir, 1), 0.25).select("idx", "header", "seq", "qual")
+
+
+@query(mates_sql(f"SELECT a1.idx, a1.header AS header1, a2.header AS header2 FROM a1 JOIN a2 USING (idx) WHERE {_draw_sql('idx', 7)} <= 0.1"))
+def sample_p_paired(spark, sf_dir):
+    """Both sides are filtered by themselves; the join only shows that mates stay together."""
+    one, two = (sample.proportion(everyone(spark, sf_dir, k), 0.1, seed=7) for k in (1, 2))
+    return mates.zipped(one, two).where("status = 'pair'").select("idx", "header1", "header2")
+
+
+@query(mates_sql("SELECT idx, header FROM r1"))
+def sample_p_all(spark, sf_dir):
+    return sample.proportion(side(spark, sf_dir, 1), 1.0).select("idx", "header")
+
+
+@query(mates_sql(f"SELECT idx, header, seq FROM r1 SEMI JOIN {_reservoir_sql('r1', 37, 42)} USING (idx)"))
+def sample_n(spark, sf_dir):
+    return sample.exact(side(spark, sf_dir, 1), 37).select("idx", "header", "seq")
+
+
+@query(mates_sql(f"SELECT a1.idx, a1.header AS header1, a2.header AS header2 FROM a1 JOIN a2 USING (idx) SEMI JOIN {_reservoir_sql('a1', 500, 7)} AS s USING (idx)"))
+def sample_n_paired(spark, sf_dir):
+    one, two = (sample.exact(everyone(spark, sf_dir, k), 500, seed=7) for k in (1, 2))
+    return mates.zipped(one, two).select("idx", "header1", "header2")
+
+
+@query(mates_sql("SELECT idx, header FROM r2"))
+def sample_n_exceeds_total(spark, sf_dir):
+    return sample.exact(side(spark, sf_dir, 2), 1_000_000_000).select("idx", "header")
+
+
+# --- merging and splitting
+
+_MERGED = "merged AS (SELECT 2 * idx AS idx, header, seq, plus, qual, id FROM a1 UNION ALL SELECT 2 * idx + 1, header, seq, plus, qual, id FROM a2)"
+_STACKED = "merged AS (SELECT idx, header, seq, plus, qual, id FROM a1 UNION ALL SELECT idx + (SELECT count(*) FROM a1), header, seq, plus, qual, id FROM a2)"
+
+
+def _merged(spark, sf_dir, layout: str) -> DataFrame:
+    one, two = everyone(spark, sf_dir, 1), everyone(spark, sf_dir, 2)
+    return mates.interleaved(one, two) if layout == "interleaved" else join.stacked([one, two]).select(F.col("out_idx").alias("idx"), *RECORD)
+
+
+@query(mates_sql("SELECT idx, header, seq, plus, qual FROM merged", _MERGED))
+def interleave(spark, sf_dir):
+    return mates.interleave(everyone(spark, sf_dir, 1), everyone(spark, sf_dir, 2))
+
+
+@query(mates_sql("SELECT 2 * idx AS idx, header, seq FROM r1 UNION ALL SELECT 2 * idx + 1, header, seq FROM r2 WHERE idx < (SELECT count(*) FROM r1)"))
+def interleave_unchecked(spark, sf_dir):
+    """Mates that don't belong together, of equal number."""
+    one = side(spark, sf_dir, 1)
+    two = side(spark, sf_dir, 2).where(F.col("idx") < one.count())
+    two = two.where(F.col("idx") < one.count())
+    return mates.interleaved(one, two).select("idx", "header", "seq") if two.count() else one.select("idx", "header", "seq")
+
+
+def _split_query(name: str, layout: str, which: int, sql: str, more: str):
+    def run(spark, sf_dir):
+        return mates.deinterleave(_merged(spark, sf_dir, "interleaved" if layout == "by-suffix" else layout), layout)[which].select("idx", "header", "seq", "qual")
+
+    run.__name__ = name
+    query(mates_sql(sql, more))(run)
+
+
+for _which in (0, 1):
+    _split_query(f"deinterleave_interleaved_r{_which + 1}", "interleaved", _which, f"SELECT idx // 2 AS idx, header, seq, qual FROM merged WHERE idx % 2 = {_which}", _MERGED)
+    _half = "(SELECT count(*) // 2 FROM merged)"
+    _split_query(f"deinterleave_concat_r{_which + 1}", "concat", _which, f"SELECT idx - {_which} * {_half} AS idx, header, seq, qual FROM merged WHERE (idx >= {_half})::INT = {_which}", _STACKED)
+    _split_query(
+        f"deinterleave_by_suffix_r{_which + 1}", "by-suffix", _which,
+        rf"SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, header, seq, qual FROM merged WHERE regexp_matches(header, '/{_which + 1}(\s|$)')", _MERGED,
+    )
+
+
+@query(
+    mates_sql(
+        r"""SELECT (SELECT count(*) FROM head) AS records, (SELECT bool_and(regexp_matches(header, '/[12](\s|$)')) FROM head) AS all_have_marker,
+  (SELECT bool_and(same) FROM (SELECT min(id) = max(id) AS same FROM head GROUP BY idx // 2 HAVING count(*) = 2)) AS pairs_share_id""",
+        _MERGED + f", head AS (SELECT * FROM merged WHERE idx < {mates.PROBE})",
+    )
+)
+def deinterleave_probe(spark, sf_dir):
+    return mates.probe(_merged(spark, sf_dir, "interleaved"))
+
+
+@query(
+    mates_sql(
+        f"""SELECT (SELECT count(*) FROM merged) AS n, (SELECT min(i) FROM (SELECT {NEAR} AS i FROM merged GROUP BY 1 HAVING min(id) <> max(id))) AS interleaved_fails,
+  (SELECT min(i) FROM (SELECT {FAR} AS i, id FROM merged) GROUP BY i HAVING min(id) <> max(id) ORDER BY 1 LIMIT 1) AS concat_fails""",
+        _STACKED,
+    )
+)
+def detect_layout(spark, sf_dir):
+    return mates.hypotheses(_merged(spark, sf_dir, "concat"))
+
+
+_CAT = """SELECT 0 AS src, idx, idx AS out_idx, header, seq FROM r1 UNION ALL SELECT 1, idx, idx + (SELECT count(*) FROM r1), header, seq FROM r2"""
+
+
+@query(mates_sql(_CAT))
+def cat_se(spark, sf_dir):
+    return join.cat([side(spark, sf_dir, 1), side(spark, sf_dir, 2)], allow_duplicates=True)[0].select("src", "idx", "out_idx", "header", "seq")
+
+
+@query(mates_sql("SELECT out_idx, a.header AS header1, b.header AS header2 FROM a JOIN b USING (out_idx)", "a AS (SELECT idx AS out_idx, header FROM a1 UNION ALL SELECT idx + (SELECT count(*) FROM a1), replace(header, '@RD', '@RX') FROM a1), b AS (SELECT idx AS out_idx, header FROM a2 UNION ALL SELECT idx + (SELECT count(*) FROM a2), replace(header, '@RD', '@RX') FROM a2)"))
+def cat_pe(spark, sf_dir):
+    own = [everyone(spark, sf_dir, k) for k in (1, 2)]
+    other = [d.withColumn("header", F.replace("header", F.lit("@RD"), F.lit("@RX"))) for d in own]
+    one, two = join.cat([own[0], other[0]], [own[1], other[1]])
+    return one.select("out_idx", F.col("header").alias("header1")).join(two.select("out_idx", F.col("header").alias("header2")), "out_idx")
+
+
+@query(mates_sql("SELECT r1.id, 0 AS first_src, r1.idx AS first_idx, 1 AS src, r2.idx AS idx FROM r1 JOIN r2 USING (id)"))
+def cat_duplicates(spark, sf_dir):
+    return join.repeated(join.stacked([side(spark, sf_dir, 1), side(spark, sf_dir, 2)]))
+
+
+# --- renaming
+
+
+def _names(spark, sf_dir) -> DataFrame:
+    """(line_no, value): a new and an old name for each nation and, later, again for some of them."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    token = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    first = nations.select(F.col("n_nationkey").cast("bigint").alias("line_no"), F.concat(F.lit("chr"), F.col("n_nationkey").cast("string"), F.lit("\t"), token).alias("value"))
+    again = nations.where("n_nationkey % 5 = 0").select((F.col("n_nationkey") + 100).cast("bigint").alias("line_no"), F.concat(F.lit("  alt"), F.col("n_nationkey").cast("string"), F.lit("  "), token, F.lit(" more")).alias("value"))
+    return first.union(again)
+
+
+_NAMES = "names AS (SELECT 'n' || n_nationkey AS old, CASE WHEN n_nationkey % 5 = 0 THEN 'alt' ELSE 'chr' END || n_nationkey AS new FROM nation)"
+
+
+@query(f"WITH {_NAMES} SELECT old, new FROM names")
+def rename_dict_last_wins(spark, sf_dir):
+    return rename.parse_names(_names(spark, sf_dir))
+
+
+def _fasta_lines(spark, sf_dir) -> DataFrame:
+    """(line_no, value): each event a header of some nation's old name, and a line of sequence."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    head = F.concat(F.lit(">n"), (F.col("user_id") % 40).cast("string"), F.lit(" described as "), F.col("event_type"))
+    body = F.concat(F.lit("  "), F.translate(F.md5(F.col("event_id").cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT"), F.lit("\r"))
+    return events.select(F.posexplode(F.array(head, body)).alias("k", "value"), "event_id").select((F.col("event_id") * 2 + F.col("k")).alias("line_no"), "value")
+
+
+@query(
+    f"""WITH {_NAMES} SELECT 2 * event_id AS line_no, '>' || coalesce(new, 'n' || (user_id % 40)) AS value FROM events LEFT JOIN names ON old = 'n' || (user_id % 40)
+ UNION ALL SELECT 2 * event_id + 1, translate(md5(cast(event_id AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') FROM events"""
+)
+def rename_fasta(spark, sf_dir):
+    return rename.fasta(_fasta_lines(spark, sf_dir), rename.parse_names(_names(spark, sf_dir))).select("line_no", "value")
+
+
+@query(
+    f"""WITH {_NAMES}, lines AS (SELECT event_id, event_id % 9 AS kind, 'n' || (user_id % 40) AS seqid, event_type FROM events)
+ SELECT event_id AS line_no, CASE WHEN kind = 0 THEN '#' || seqid || chr(9) || event_type WHEN kind = 1 AND new IS NOT NULL THEN new || chr(9) WHEN kind = 1 THEN seqid
+ ELSE coalesce(new, seqid) || chr(9) || event_type || chr(9) || event_id END AS value FROM lines LEFT JOIN names ON old = seqid"""
+)
+def rename_gff(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    kind, seqid = F.col("event_id") % 9, F.concat(F.lit("n"), (F.col("user_id") % 40).cast("string"))
+    full = F.concat_ws("\t", seqid, "event_type", F.col("event_id").cast("string"))
+    line = F.when(kind == 0, F.concat(F.lit("#"), seqid, F.lit("\t"), "event_type")).when(kind == 1, seqid).otherwise(full)
+    return rename.gff(events.select(F.col("event_id").alias("line_no"), line.alias("value")), rename.parse_names(_names(spark, sf_dir))).select("line_no", "value")
+
+
+# --- rescue
+
+CUT = 777
+
+
+def _damaged(spark, sf_dir) -> DataFrame:
+    """Records of which those whose number ends in CUT, past the first thousand, have a short quality line."""
+    rows = everyone(spark, sf_dir, 1)
+    return rows.withColumn("qual", F.when(F.col("idx") % 1000 == CUT, F.lit("III")).otherwise(F.col("qual")))
+
+
+_STOP = f"(SELECT coalesce(min(idx), 1152921504606846976) FROM a1 WHERE idx % 1000 = {CUT})"
+
+
+@query(mates_sql(f"SELECT idx, header, seq, qual FROM a1 WHERE idx < {_STOP}"))
+def rescue_single(spark, sf_dir):
+    return mates.rescue(_damaged(spark, sf_dir))[0].select("idx", "header", "seq", "qual")
+
+
+@query(mates_sql(f"SELECT count(*) AS rescued, CASE WHEN {_STOP} >= 1152921504606846976 THEN 0 WHEN count(*) > 0 THEN 3 ELSE 1 END AS outcome FROM a1 WHERE idx < {_STOP}"))
+def rescue_outcome(spark, sf_dir):
+    return mates.rescue(_damaged(spark, sf_dir))[1]
+
+
+@query(mates_sql(f"SELECT a1.idx, a1.header AS header1, a2.header AS header2 FROM a1 JOIN a2 USING (idx) WHERE idx < least({_STOP}, 501)"))
+def rescue_paired(spark, sf_dir):
+    two = everyone(spark, sf_dir, 2).withColumn("header", F.when(F.col("idx") == 501, F.lit("@other/2")).otherwise(F.col("header")))
+    return mates.rescue_paired(_damaged(spark, sf_dir), two)[0].select("idx", "header1", "header2")
+
+
+@query(
+    """SELECT event_id AS idx, CASE event_id % 6 WHEN 0 THEN 'header does not start with ''@''' WHEN 1 THEN 'expected ''+'' line'
+ WHEN 2 THEN 'sequence and quality lengths differ' WHEN 3 THEN 'missing quality line' END AS problem FROM events"""
+)
+def fastq_validate(spark, sf_dir):
+    rows = everyone(spark, sf_dir, 1)
+    kind = F.col("idx") % 6
+    spoilt = rows.withColumns(
+        {
+            "header": F.when(kind == 0, F.substring("header", 2, 99)).otherwise(F.col("header")),
+            "plus": F.when(kind == 1, F.lit("-")).otherwise(F.col("plus")),
+            "qual": F.when(kind == 2, F.lit("é" * 15)).when(kind == 3, F.lit(None)).otherwise(F.col("qual")),
+        }
+    )
+    return mates.broken(spoilt).select("idx", "problem")
+
+
+# --- names of reads
+
+
+def _shapes(event_id: Column) -> Column:
+    """A header in one of many shapes."""
+    e = event_id.cast("string")
+    forms = ["@R{}/1", "@R{}/2 x", "@R{} 1:N:0:AT", "@SRR.{} {}/2", "@R{}/12", "@R{}/1x", "@@R{}/2", "R{}", "@R{}/1/2", "@A{}/2 B/1", "@R{}\tlength=1/2"]
+    out = None
+    for k, form in enumerate(forms):
+        text = F.lit("")
+        for n, piece in enumerate(form.split("{}")):
+            text = F.concat(text, e, F.lit(piece)) if n else F.lit(piece)
+        out = F.when(event_id % len(forms) == k, text) if out is None else out.when(event_id % len(forms) == k, text)
+    return out
+
+
+_SHAPES = """shapes AS (SELECT event_id, CASE event_id % 11 WHEN 0 THEN '@R' || event_id || '/1' WHEN 1 THEN '@R' || event_id || '/2 x' WHEN 2 THEN '@R' || event_id || ' 1:N:0:AT'
+ WHEN 3 THEN '@SRR.' || event_id || ' ' || event_id || '/2' WHEN 4 THEN '@R' || event_id || '/12' WHEN 5 THEN '@R' || event_id || '/1x' WHEN 6 THEN '@@R' || event_id || '/2'
+ WHEN 7 THEN 'R' || event_id WHEN 8 THEN '@R' || event_id || '/1/2' WHEN 9 THEN '@A' || event_id || '/2 B/1' ELSE '@R' || event_id || chr(9) || 'length=1/2' END AS header FROM events)"""
+
+
+def _headers(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", _shapes(F.col("event_id")).alias("header"))
+
+
+@query(rf"WITH {_SHAPES} SELECT event_id, header, regexp_replace(regexp_extract(regexp_replace(header, '^@', ''), '^\s*(\S*)', 1), '/[12]$', '') AS id FROM shapes")
+def base_id(spark, sf_dir):
+    return _headers(spark, sf_dir).withColumn("id", headers.base_id(F.col("header")))
+
+
+@query(rf"WITH {_SHAPES} SELECT event_id, CASE WHEN regexp_matches(header, '/1(\s|$)') THEN 1 WHEN regexp_matches(header, '/2(\s|$)') THEN 2 END AS mate FROM shapes")
+def mate_suffix(spark, sf_dir):
+    return _headers(spark, sf_dir).select("event_id", headers.mate_suffix(F.col("header")).alias("mate"))
+
+
+@query(
+    f"""SELECT event_id, (list_reduce(list_prepend({draws.FNV_BASIS}::UBIGINT, list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i::INT, 1))::UBIGINT)),
+ lambda h, o: (xor(h, o)::UHUGEINT * {draws.FNV_PRIME}::UHUGEINT % {_U})::UBIGINT) % 256)::BIGINT AS part FROM (SELECT event_id, 'RD' || event_id AS name FROM events)"""
+)
+def fnv1a_partition(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat(F.lit("RD"), F.col("event_id").cast("string")).alias("name"))
+    with draws.wrapping(spark):
+        return names.select("event_id", draws.fnv1a(F.col("name")).bitwiseAND(F.lit(255)).alias("part"))
+
+
+# --- contig dictionaries
+
+
+def _dictionaries(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The nations as a reference, and files that differ from it in one way each."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("ord"), F.concat(F.lit("chr"), F.col("n_name")).alias("name"), (F.col("n_nationkey") * 100 + 100).cast("bigint").alias("length"))
+    reference = nation.withColumn("file", F.lit("reference"))
+    same = nation.withColumn("file", F.lit("same"))
+    bare = nation.withColumn("name", F.substring("name", 4, 99)).withColumn("file", F.lit("bare"))
+    longer = nation.withColumn("length", F.when(F.col("ord") % 4 == 1, F.col("length") + 1).otherwise(F.col("length"))).withColumn("file", F.lit("longer"))
+    turned = nation.withColumn("ord", 100 - F.col("ord")).withColumn("file", F.lit("turned"))
+    part = nation.where("ord < 7").withColumn("length", F.when(F.col("ord") < 3, F.col("length"))).withColumn("file", F.lit("part"))
+    others = same.unionByName(bare).unionByName(longer).unionByName(turned).unionByName(part)
+    return reference, others
+
+
+_BOOKS = """reference AS (SELECT n_nationkey::BIGINT AS ord, 'chr' || n_name AS name, (n_nationkey * 100 + 100)::BIGINT AS length FROM nation),
+ others AS (SELECT 'same' AS file, * FROM reference UNION ALL SELECT 'bare', ord, substr(name, 4), length FROM reference
+ UNION ALL SELECT 'longer', ord, name, CASE WHEN ord % 4 = 1 THEN length + 1 ELSE length END FROM reference UNION ALL SELECT 'turned', 100 - ord, name, length FROM reference
+ UNION ALL SELECT 'part', ord, name, CASE WHEN ord < 3 THEN length END FROM reference WHERE ord < 7),
+ missing AS (SELECT file, name FROM (SELECT file, name FROM (SELECT DISTINCT file FROM others), reference) AS wanted ANTI JOIN others USING (file, name)),
+ orders AS (SELECT file, list(name ORDER BY ord) AS theirs, list(name ORDER BY r_ord) AS ours FROM (SELECT file, name, o.ord, r.ord AS r_ord FROM others o JOIN reference r USING (name)) GROUP BY file)"""
+
+
+@query(f"WITH {_BOOKS} SELECT file, ord, name FROM others ANTI JOIN reference USING (name)")
+def contigs_unknown(spark, sf_dir):
+    return contigs.unknown(*_dictionaries(spark, sf_dir)).select("file", "ord", "name")
+
+
+@query(f"WITH {_BOOKS} SELECT file, ord, o.name, r.name AS alias FROM (SELECT * FROM others ANTI JOIN reference USING (name)) o LEFT JOIN (SELECT name FROM reference) r ON r.name = 'chr' || o.name")
+def contigs_alias_hint(spark, sf_dir):
+    return contigs.unknown(*_dictionaries(spark, sf_dir))
+
+
+@query(f"WITH {_BOOKS} SELECT file, o.ord, o.name, o.length AS here, r.length AS there FROM others o JOIN reference r ON o.name = r.name AND o.length <> r.length")
+def contigs_length_conflict(spark, sf_dir):
+    return contigs.length_conflicts(*_dictionaries(spark, sf_dir))
+
+
+@query(f"WITH {_BOOKS} SELECT file, name FROM missing")
+def contigs_missing(spark, sf_dir):
+    return contigs.missing(*_dictionaries(spark, sf_dir))
+
+
+@query(f"WITH {_BOOKS} SELECT file, theirs <> ours AS differs FROM orders")
+def contigs_order(spark, sf_dir):
+    return contigs.order_differs(*_dictionaries(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_BOOKS} SELECT file, count(name) AS contigs, CASE WHEN count(name) = count(length) THEN 'yes' WHEN count(length) = 0 THEN 'no'
+ ELSE count(length) || '/' || count(name) END AS lengths FROM others GROUP BY file"""
+)
+def contigs_summary(spark, sf_dir):
+    return contigs.summary(_dictionaries(spark, sf_dir)[1])
+
+
+@query(
+    f"""WITH {_BOOKS}, found AS (SELECT file, 'unknown' AS finding, true AS fatal, count(*) AS n FROM (SELECT * FROM others ANTI JOIN reference USING (name)) GROUP BY file
+ UNION ALL SELECT file, 'length', true, count(*) FROM others o JOIN reference r ON o.name = r.name AND o.length <> r.length GROUP BY file
+ UNION ALL SELECT file, 'order', false, 1 FROM orders WHERE theirs <> ours)
+ SELECT * FROM found UNION ALL SELECT file, 'missing', false, count(*) FROM missing WHERE file NOT IN (SELECT file FROM found WHERE fatal) GROUP BY file"""
+)
+def contigs_findings(spark, sf_dir):
+    return contigs.findings(*_dictionaries(spark, sf_dir))
+
+
+@query("""SELECT row_number() OVER (ORDER BY event_id) - 1 AS ord, 'n' || (user_id % 40) AS name, 32::BIGINT AS length FROM events""")
+def contigs_fasta_lengths(spark, sf_dir):
+    return contigs.fasta_lengths(_fasta_lines(spark, sf_dir))
+
+
+@query("SELECT event_type AS name, min(event_id) AS first_line FROM events GROUP BY 1")
+def contigs_distinct_order(spark, sf_dir):
+    return contigs.distinct_in_order(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line_no"), F.col("event_type").alias("name")))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders")
+def dense_index(spark, sf_dir):
+    return checks.dense(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), [F.col("o_orderkey")])
