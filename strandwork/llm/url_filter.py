@@ -12,13 +12,11 @@ url that many rows share is scored once.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandwork.llm.common import written
+from strandwork.llm.common import drop, written
 
 #: Longest context in characters; one url in FOLDS calibrates; histogram steps per unit of score, and its ends.
 ORDER, FOLDS, STEPS, END = 4, 5, 50, 10
@@ -51,28 +49,35 @@ def _grams(urls: DataFrame, order: int) -> DataFrame:
     return urls.withColumn("gram", F.explode(F.transform(places, lambda p: F.substring(padded, p, F.lit(order + 1)))))
 
 
-def _model(counts: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """wanted (gram) with the log chance, as `column`, of each gram's last character after the rest, from counts
-    (gram, n) of grams of ORDER + 1 characters."""
-    known = wanted.select("gram")
-    chance = known.withColumn("p", F.lit(None).cast("double"))
-    alphabet = counts.select(F.right("gram", F.lit(1)).alias("c")).distinct().agg(F.count("*").alias("a"))
-    chance = None
+def _ratios(counts: DataFrame, wanted: DataFrame) -> tuple[DataFrame, str]:
+    """(gram, llr): for each wanted gram the log chance of its last character after the rest among accepted urls, less
+    that among rejected ones, from counts (gram, good, bad) of grams of ORDER + 1 characters. Each order is written
+    before the next is built on it, so plans stay short."""
+    spark = counts.sparkSession
+    sides = ("good", "bad")
+    chance = path = None
     for k in range(ORDER + 1):
-        grams = counts.groupBy(F.right("gram", F.lit(k + 1)).alias("g")).agg(F.sum("n").alias("n"))
-        contexts = grams.groupBy(F.left("g", F.lit(k)).alias("h")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        now = known.select(F.right("gram", F.lit(k + 1)).alias("g")).distinct().withColumn("h", F.left("g", F.lit(k)))
-        now = now.join(grams, "g", "left").join(contexts, "h", "left")
-        n, total, kinds = (F.coalesce(c, F.lit(0)).cast("double") for c in ("n", "total", "kinds"))
+        grams = counts.groupBy(F.right("gram", F.lit(k + 1)).alias("g")).agg(*(F.sum(s).alias(s) for s in sides))
+        totals = [F.sum(s).alias(f"{s}_total") for s in sides] + [F.count_if(F.col(s) > 0).alias(f"{s}_kinds") for s in sides]
+        now = wanted.select(F.right("gram", F.lit(k + 1)).alias("g")).distinct().join(grams, "g", "left")
         if k == 0:
-            shorter = 1 / (F.col("a") + 1.0)  # every known character and all unknown ones alike
-            now = now.crossJoin(F.broadcast(alphabet))  # one row
+            row = grams.agg(*totals).first()  # one row: sizes of the alphabets
+            sums = {c: F.lit(float(row[c] or 0)) for s in sides for c in (f"{s}_total", f"{s}_kinds")}
         else:
-            now = now.withColumn("s", F.right("g", F.lit(k))).join(chance.select(F.col("g").alias("s"), F.col("p").alias("q")), "s")
-            shorter = F.col("q")
-        p = F.when(total > 0, (n + kinds * shorter) / F.when(total > 0, total + kinds)).otherwise(shorter)
-        chance = now.select("g", p.alias("p"))
-    return wanted.join(chance.select(F.col("g").alias("gram"), F.log("p").alias(column)), "gram")
+            contexts = grams.groupBy(F.left("g", F.lit(k)).alias("h")).agg(*totals)
+            now = now.withColumns({"h": F.left("g", F.lit(k)), "s": F.right("g", F.lit(k))}).join(contexts, "h", "left")
+            now = now.join(chance.select(F.col("g").alias("s"), *(F.col(f"{s}_p").alias(f"{s}_q") for s in sides)), "s")
+            sums = {c: F.coalesce(F.col(c), F.lit(0)).cast("double") for s in sides for c in (f"{s}_total", f"{s}_kinds")}
+        out = ["g"]
+        for s in sides:
+            n, total, kinds = F.coalesce(F.col(s), F.lit(0)).cast("double"), sums[f"{s}_total"], sums[f"{s}_kinds"]
+            shorter = 1 / (kinds + 1.0) if k == 0 else F.col(f"{s}_q")  # at first all known characters and an unknown one alike
+            out.append(F.when(total > 0, (n + kinds * shorter) / F.when(total > 0, total + kinds)).otherwise(shorter).alias(f"{s}_p"))
+        new, new_path = written(now.select(*out))
+        if path:
+            drop(spark, path)
+        chance, path = new, new_path
+    return chance.select(F.col("g").alias("gram"), (F.log("good_p") - F.log("bad_p")).alias("llr")), path
 
 
 def threshold(scored: DataFrame) -> Column:
@@ -98,8 +103,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
     """
     pages = pages.drop("host", "path", "rule", "verdict", "score")
     known = pages.withColumn("_url", F.coalesce(F.col(url), F.lit("")))
-    fit = fitting_rule(host_of(F.col("url")), path_of(F.col("url")), rules)
-    urls, _ = written(known.select(F.col("_url").alias("url")).distinct().withColumn("verdict", fit["verdict"]))
+    parts = known.select(F.col("_url").alias("url")).distinct().withColumns({"h": host_of(F.col("url")), "p": path_of(F.col("url"))})
+    urls, _ = written(parts.select("url", fitting_rule(F.col("h"), F.col("p"), rules)["verdict"].alias("verdict")))
     held = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(FOLDS)) == 0
     counts = (
         _grams(urls.where(F.col("verdict").isNotNull() & ~held), ORDER)
@@ -109,17 +114,15 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
     counts, _ = written(counts)
     asked = _grams(urls.where(F.col("verdict").isNull() | held), ORDER)
     wanted, _ = written(asked.select("gram").distinct())
-    good = _model(counts.where("good > 0").select("gram", F.col("good").alias("n")), wanted, "good")
-    bad = _model(counts.where("bad > 0").select("gram", F.col("bad").alias("n")), wanted, "bad")
-    ratio = good.join(bad, "gram").select("gram", (F.col("good") - F.col("bad")).alias("llr"))
-    ratio, _ = written(ratio)
+    ratio, _ = _ratios(counts, wanted)
     # In fixed point, so that a sum is the same in any order.
     scores = asked.join(ratio, "gram").groupBy("url", "verdict").agg((F.sum(F.round(F.col("llr") * 2**32).cast("long")) / F.count("*") / 2.0**32).alias("score"))
     scores, _ = written(scores)
-    cut = threshold(scores.where("verdict is not null").select("score", (F.col("verdict") == "allow").alias("good")))
-    trained = counts.agg((F.sum("good") > 0).alias("g"), (F.sum("bad") > 0).alias("b")).select((F.coalesce("g", F.lit(False)) & F.coalesce("b", F.lit(False))).alias("trained"))
-    free = scores.where("verdict is null").crossJoin(F.broadcast(cut.crossJoin(trained)))  # one row
-    free = free.select(F.col("url").alias("_url"), "score", F.when(F.col("trained") & (F.col("score") < F.col("threshold")), "block").otherwise("allow").alias("_judged"))
+    cut = threshold(scores.where("verdict is not null").select("score", (F.col("verdict") == "allow").alias("good"))).first()["threshold"]
+    seen = counts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    trained = bool(seen["good"] and seen["bad"])
+    judged = F.when(F.lit(trained) & (F.col("score") < F.lit(float(cut))), "block").otherwise("allow")
+    free = scores.where("verdict is null").select(F.col("url").alias("_url"), "score", judged.alias("_judged"))
     out = known.join(free, "_url", "left").withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})
     fit = fitting_rule(F.col("host"), F.col("path"), rules)
     return out.withColumn("rule", fit["rule"]).withColumn("verdict", F.coalesce(fit["verdict"], F.col("_judged"))).drop("_url", "_judged")
