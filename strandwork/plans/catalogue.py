@@ -82,7 +82,7 @@ def _lineitem_reads(spark, sf_dir, line: int) -> DataFrame:
     return named.select(place.alias("idx"), "header", F.lit("A").alias("seq"), F.lit("+").alias("plus"), F.lit("I").alias("qual"))
 
 
-_DUP = """WITH reads AS (SELECT l_linenumber, l_orderkey || '-' || l_linenumber AS id, l_partkey * 1000000 + l_suppkey AS idx FROM lineitem),
+_DUP = """WITH reads AS (SELECT l_linenumber, 'L' || l_orderkey || '-' || l_linenumber AS id, l_partkey * 1000000 + l_suppkey AS idx FROM lineitem),
  r1 AS (SELECT id, min(idx) AS first, count(*) AS n FROM reads WHERE l_linenumber % 3 <> 1 GROUP BY id),
  r2 AS (SELECT id, min(idx) AS first, count(*) AS n FROM reads WHERE l_linenumber % 3 <> 2 GROUP BY id)
  SELECT coalesce(r1.id, r2.id) AS id, r1.first AS first1, r2.first AS first2, coalesce(r1.n, 0) AS n1, coalesce(r2.n, 0) AS n2,
