@@ -107,7 +107,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(size: int, ranges: int, common: np.ndarray):
-    """Blocks' rows: their sets under range -1, then the shingles that aren't common by range of hashes."""
+    """Blocks' rows: their sets, with names, under some range, then the shingles that aren't common by range of hashes."""
     schema = pa.schema([(c, pa.int64() if c in ("range", "block") else pa.binary()) for c in ("range", "block", "names", "sizes", "places", "hashes")])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,7 @@ def _dealt(size: int, ranges: int, common: np.ndarray):
             del own
             at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
             there = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
-            rows = [(-1, number, names.tobytes(), sizes.tobytes(), places[there].tobytes(), at[there].astype("<u4").tobytes())]
+            rows = [(number % ranges, number, names.tobytes(), sizes.tobytes(), places[there].tobytes(), at[there].astype("<u4").tobytes())]
             hashes, places = hashes[~there], places[~there]
             order = np.argsort(hashes)
             hashes, places = hashes[order], places[order]
@@ -138,14 +138,18 @@ def _dealt(size: int, ranges: int, common: np.ndarray):
 
 
 def _repeated(key: tuple, part: pa.Table) -> pa.Table:
-    """The shingles of a range that occur more than once, by block, with their frequency."""
+    """The shingles of a range that occur more than once, by block, with their frequency; blocks' sets pass."""
+    names = ["block", "places", "hashes", "often", "names", "sizes"]
+    heads = part.filter(pa.compute.is_valid(part["names"]))
+    heads = [(*own, None, *more) for *own, more in zip(*(heads[c].to_pylist() for c in names[:3]), zip(heads["names"].to_pylist(), heads["sizes"].to_pylist()))]
+    part = part.filter(pa.compute.is_null(part["names"]))
     packed = part["hashes"].to_pylist()
     each = np.array([len(p) >> 3 for p in packed])
     hashes = np.frombuffer(b"".join(packed), _U8)
     places = np.frombuffer(b"".join(part["places"].to_pylist()), "<u2")
     block = np.repeat(np.arange(len(packed)), each)
     order = np.argsort(hashes)
-    first = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), hashes[order][1:] != hashes[order][:-1]]))
     n = np.diff(np.append(first, len(hashes)))
     often = np.repeat(n, n)
     keep = order[often > 1]
@@ -153,14 +157,13 @@ def _repeated(key: tuple, part: pa.Table) -> pa.Table:
     by_block = np.argsort(block[keep], kind="stable")
     keep, often = keep[by_block], often[by_block]
     cut = np.searchsorted(block[keep], np.arange(len(packed) + 1))
-    rows = [
-        (number, places[keep[a:b]].tobytes(), hashes[keep[a:b]].tobytes(), often[a:b].astype("<u4").tobytes())
+    rows = heads + [
+        (number, places[keep[a:b]].tobytes(), hashes[keep[a:b]].tobytes(), often[a:b].astype("<u4").tobytes(), None, None)
         for number, a, b in zip(part["block"].to_pylist(), cut[:-1], cut[1:])
         if b > a
     ]
-    columns = list(zip(*rows)) or [[]] * 4
-    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["block", "places", "hashes", "often"])
+    columns = list(zip(*rows)) or [[]] * 6
+    return pa.table([pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(columns)], names=names)
 
 
 def prefix(n: int, unique: int, often: np.ndarray, least: int) -> tuple[int, int]:
@@ -226,14 +229,9 @@ def _similar(percent: int):
 def link(names: DataFrame, rows: DataFrame, size: int, percent: int, common: np.ndarray, common_n: np.ndarray, ranges: int) -> tuple[DataFrame | None, list[str]]:
     """Links (a, b) between the names of different sets that tie together whatever similar pairs tie, and scratch paths."""
     dealt = rows.mapInArrow(_dealt(size, ranges, common), "range long, block long, names binary, sizes binary, places binary, hashes binary")
-    dealt, dealt_path = written(dealt)
-    repeated = dealt.where("range >= 0").select("range", "block", "places", "hashes").groupBy("range").applyInArrow(_repeated, "block long, places binary, hashes binary, often binary")
-    heads = dealt.where("range < 0").select("block", "places", "hashes", "names", "sizes")
-    nothing = F.lit(None).cast("binary")
-    together = heads.withColumn("often", nothing).unionByName(repeated.withColumns({"names": nothing, "sizes": nothing}))
+    together = dealt.groupBy("range").applyInArrow(_repeated, "block long, places binary, hashes binary, often binary, names binary, sizes binary")
     sets = together.groupBy("block").applyInArrow(_sets(percent, common, common_n), "name long, n long, matches int, entries array<long>, shared binary")
     sets, sets_path = written(sets)
-    drop(rows.sparkSession, dealt_path)
     # A set that blocks share is there for each of them. Its entries may differ by what a block knows, so they are united.
     one = sets.groupBy("name").agg(F.first("n").alias("n"), F.min("matches").alias("matches"), F.array_distinct(F.flatten(F.collect_list("entries"))).alias("entries"), F.first("shared").alias("shared"))
     sets, one_path = written(one)
