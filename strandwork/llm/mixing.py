@@ -97,8 +97,9 @@ def round_rates(sizes: np.ndarray, rates: np.ndarray, ties: np.ndarray, most: in
     return copies
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """docs with size (words), source_size, target (of its source) and copies (0 to most).
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, doc_id: str = "doc_id", source: str = "source", text: str = "text", carry_text: bool = True) -> DataFrame:
+    """docs with size (words), source_size, target (of its source) and copies (0 to most), without texts if they aren't
+    to be carried along.
 
     Null texts have size 0. A null source is a source of its own, the last. Repeated rows are documents of their own;
     ties go by a hash of the id, so runs agree. Documents without words keep one copy, which takes nothing. An empty
@@ -114,6 +115,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, do
     solved, _ = dual(counts, float(most))
     drop(docs.sparkSession, counts_path)
     n_rows = small.agg(F.sum("n")).first()[0] or 0
+    if not carry_text:
+        sized = sized.drop(text)
     rated = (
         sized.withColumn("_octave", _octave())
         .join(goals.withColumnRenamed("source", "_s"), F.col(source).eqNullSafe(F.col("_s")), "left")

@@ -122,7 +122,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandwork.llm.mixing import mix
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mix(docs)
+    mixed = mix(docs, carry_text=False)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
