@@ -139,3 +139,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL["op2_jaccard_join"] = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingles FROM words),
+sizes AS (SELECT doc_id, len(shingles) AS n FROM sets),
+entries AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM entries x JOIN entries y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * shared >= 85 * (s.n + t.n - shared)),
+reach(node, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT node, b FROM reach JOIN links ON other = a)
+SELECT doc_id, n AS n_shingles, least(doc_id, (SELECT min(other) FROM reach WHERE node = doc_id)) AS component_id FROM sizes
+"""
+
+ORACLE_SQL["op5_tool_calls"] = """
+WITH turns AS (SELECT conv_id, turn, role, text FROM conversations),
+results AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n_results, min(text) AS content FROM turns WHERE role = 'assistant' GROUP BY ALL),
+places AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM turns WHERE role = 'user'),
+calls AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS level FROM places),
+linked AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, c.conv_id AS session, c.level, c.text, r.content, r.n_results FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.turn)
+SELECT 'call-' || conv_id || '-' || turn AS call_id, session, level::INT AS level,
+  CASE WHEN session IS NULL THEN 'orphan_result' WHEN n_results IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+  coalesce(n_results, 0) AS n_results, true AS valid, '' AS problems,
+  '{"arguments":' || CASE WHEN session IS NULL THEN 'null' ELSE '{' || CASE WHEN level > 0 THEN '"after":"call-' || conv_id || '-' || (turn - 2) || '",' ELSE '' END
+    || '"text":' || to_json(text)::VARCHAR || ',"turn":' || turn || '}' END || ',"call_id":"call-' || conv_id || '-' || turn || '","name":'
+    || CASE WHEN session IS NULL THEN 'null' ELSE '"reply"' END || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS canonical
+FROM linked
+"""
