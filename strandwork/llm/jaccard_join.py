@@ -15,8 +15,10 @@ How it is spread:
    whose prefix is full of unique shingles is out before any pair is thought of.
 3. Rounds of links through one representative per prefix shingle tie families of near copies together: one verified
    pair a document and round, never a family's square.
-4. What is left: all pairs of prefix entries of one shingle whose documents are not tied together yet, counted against
-   the smaller m of the two and verified. So no link between two components is missed.
+4. What is left are shingles in the prefixes of documents that are not tied together yet. Where few documents hold such a
+   shingle, its pairs are counted against the smaller m of the two and verified. Documents that meet in a shingle of many
+   are compared in tiles, all with all, by matrix products, and only what ties them together is reported: a family of
+   documents that are nearly similar enough never becomes rows of pairs. So no link between two components is missed.
 """
 
 from __future__ import annotations
@@ -41,7 +43,9 @@ RANGE = 1_500_000
 #: Matches that a prefix may ask for at most; cost of verifying a pair, in looked-up postings per shingle of the document.
 MOST_MATCHES, VERIFY = 6, 0.05
 #: Rounds of links through representatives.
-ROUNDS = 3
+ROUNDS = 2
+#: A shingle that more open documents hold has them compared in tiles; documents in a tile.
+DENSE, TILE = 24, 512
 MEMO = 500_000
 
 _U8 = np.dtype("<u8")
@@ -81,6 +85,23 @@ def name_of(hashes: np.ndarray) -> int:
     return int(_mix(_mix(hashes).sum(dtype=_U8, keepdims=True) + np.uint64(len(hashes))).astype(np.int64)[0])
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as steps of six bytes where they stand close enough, else as they are."""
+    steps = np.diff(hashes, prepend=np.zeros(1, _U8))
+    if len(steps) > 1 and not (steps[1:] >> np.uint64(48)).any():
+        return hashes[:1].tobytes() + np.ascontiguousarray(steps[1:]).view("<u2").reshape(-1, 4)[:, :3].tobytes()
+    return hashes.tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    if len(data) == 8 * n:
+        return np.frombuffer(data, _U8)
+    steps = np.zeros((n, 4), "<u2")
+    steps[0] = np.frombuffer(data[:8], "<u2")
+    steps[1:, :3] = np.frombuffer(data[8:], "<u2").reshape(-1, 3)
+    return np.cumsum(steps.reshape(-1).view(_U8), dtype=_U8)
+
+
 def _first_pass(size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("common", pa.binary()), ("common_n", pa.binary())])
 
@@ -130,7 +151,7 @@ def _dealt(size: int, ranges: int, common: np.ndarray):
             begin = 0
             for r, end in enumerate(ends.tolist()):
                 if end > begin:
-                    rows.append((r, number, None, None, places[begin:end].tobytes(), hashes[begin:end].tobytes()))
+                    rows.append((r, number, None, None, places[begin:end].tobytes(), _packed(hashes[begin:end])))
                 begin = end
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -143,10 +164,10 @@ def _repeated(key: tuple, part: pa.Table) -> pa.Table:
     heads = part.filter(pa.compute.is_valid(part["names"]))
     heads = [(*own, None, *more) for *own, more in zip(*(heads[c].to_pylist() for c in names[:3]), zip(heads["names"].to_pylist(), heads["sizes"].to_pylist()))]
     part = part.filter(pa.compute.is_null(part["names"]))
-    packed = part["hashes"].to_pylist()
-    each = np.array([len(p) >> 3 for p in packed])
-    hashes = np.frombuffer(b"".join(packed), _U8)
-    places = np.frombuffer(b"".join(part["places"].to_pylist()), "<u2")
+    packed, at = part["hashes"].to_pylist(), part["places"].to_pylist()
+    each = np.array([len(p) >> 1 for p in at], np.int64)
+    hashes = np.concatenate([*(_unpacked(p, n) for p, n in zip(packed, each.tolist())), np.zeros(0, _U8)])
+    places = np.frombuffer(b"".join(at), "<u2")
     block = np.repeat(np.arange(len(packed)), each)
     order = np.argsort(hashes)
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), hashes[order][1:] != hashes[order][:-1]]))
@@ -214,6 +235,50 @@ def _sets(percent: int, common: np.ndarray, common_n: np.ndarray):
     return assemble
 
 
+def _tied_in_tiles(percent: int):
+    """Compares the documents of two tiles and reports links that tie together all that links between them tie."""
+
+    def compare(key: tuple, part: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        names, ties, n, side = (part[c].to_numpy() for c in ("name", "tie", "n", "tile"))
+        packed = part["shared"].to_pylist()
+        each = np.array([len(p) >> 3 for p in packed])
+        _, column = np.unique(np.frombuffer(b"".join(packed), _U8), return_inverse=True)
+        row = np.repeat(np.arange(len(packed)), each)
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        place = np.zeros(len(packed), np.int64)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for begin in range(0, int(column.max(initial=-1)) + 1, 4096):
+            here = (column >= begin) & (column < begin + 4096)
+            sides = []
+            for own in (left, right):
+                place[:] = -1
+                place[own] = np.arange(len(own))
+                mine = here & (place[row] >= 0)
+                x = np.zeros((len(own), 4096), np.float32)
+                x[place[row[mine]], column[mine] - begin] = 1
+                sides.append(x)
+            both += sides[0] @ sides[1].T
+        p, q = np.nonzero(100 * both >= percent * (n[left][:, None] + n[right][None, :] - both))
+        p, q = left[p], right[q]
+        root = {t: t for t in ties.tolist()}
+
+        def find(t: int) -> int:
+            while root[t] != t:
+                root[t] = t = root[root[t]]
+            return t
+
+        rows = []
+        for x, y in zip(p[ties[p] != ties[q]].tolist(), q[ties[p] != ties[q]].tolist()):
+            u, v = find(int(ties[x])), find(int(ties[y]))
+            if u != v:
+                root[u] = v
+                rows.append((int(names[x]), int(names[y])))
+        return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return compare
+
+
 def _similar(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,20 +318,34 @@ def link(names: DataFrame, rows: DataFrame, size: int, percent: int, common: np.
             paths.append(ties_path)
             tied = postings.join(ties.withColumnRenamed("node", "name"), "name", "left").select("name", "n", "matches", "shingle", F.coalesce("component", "name").alias("tie"))
         chosen = F.min(F.struct(F.xxhash64("name", F.lit(k)).alias("draw"), "name", "tie", "n"))
-        mixed = tied.groupBy("shingle").agg(chosen.alias("r"), F.min("tie").alias("low"), F.max("tie").alias("high")).where("low <> high")
+        mixed = tied.groupBy("shingle").agg(chosen.alias("r"), F.min("tie").alias("low"), F.max("tie").alias("high"), F.count("*").alias("holders")).where("low <> high")
         if k < ROUNDS:
             mixed = mixed.select("shingle", F.col("r.name").alias("b"), F.col("r.tie").alias("tie_b"), F.col("r.n").alias("n_b"))
             pairs = tied.join(mixed, "shingle").where((F.col("tie") != F.col("tie_b")) & sized)
             pairs = pairs.groupBy(F.col("name").alias("a"), "b").agg(F.count("*").alias("met"))
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
         else:
-            open_ = tied.join(mixed.select("shingle"), "shingle")
+            open_ = tied.join(mixed.select("shingle", "holders"), "shingle")
             open_, open_path = written(open_)
             paths.append(open_path)
-            other = open_.select("shingle", F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("matches").alias("m_b"), F.col("tie").alias("tie_b"))
-            pairs = open_.join(other, "shingle").where((F.col("name") < F.col("b")) & (F.col("tie") != F.col("tie_b")) & sized)
+            few = open_.where(F.col("holders") <= DENSE)
+            other = few.select("shingle", F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("matches").alias("m_b"), F.col("tie").alias("tie_b"))
+            pairs = few.join(other, "shingle").where((F.col("name") < F.col("b")) & (F.col("tie") != F.col("tie_b")) & sized)
             pairs = pairs.groupBy(F.col("name").alias("a"), "b").agg(F.count("*").alias("met"), F.first(F.least("matches", "m_b")).alias("needed"))
             pairs = pairs.where("met >= needed").select("a", "b")
+            many = open_.where(F.col("holders") > DENSE).select("shingle", "name")
+            lowest = many.groupBy("shingle").agg(F.min("name").alias("b"))
+            met = components(many.join(lowest, "shingle").where("name <> b").select(F.col("name").alias("a"), "b").distinct())
+            members = met.select(F.col("node").alias("name"), F.col("component").alias("family"))
+            tiles = members.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+            named = open_.select("name", "tie").distinct()
+            dense = members.join(tiles, "family").join(named, "name").join(sets.select("name", "n", "shared"), "name")
+            dense = dense.withColumn("tile", F.pmod(F.xxhash64("name"), F.col("tiles")).cast("int"))
+            dense = dense.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
+            dense = dense.select("family", "i", "j", "tile", "name", "tie", "n", "shared").groupBy("family", "i", "j").applyInArrow(_tied_in_tiles(percent), "a long, b long")
+            dense, dense_path = written(dense)
+            paths.append(dense_path)
+            links = links.union(dense)
         more, more_path = verified(pairs)
         paths.append(more_path)
         links = more if links is None else links.union(more)

@@ -148,6 +148,34 @@ def test_jaccard_components_are_brute_force_s(spark, size, percent):
     assert jaccard_join.jaccard_components(docs.limit(0), size, percent).count() == 0
 
 
+def test_dense_families_in_tiles(spark, monkeypatch):
+    """A family whose members are hardly similar enough to each other, in several tiles."""
+    monkeypatch.setattr(jaccard_join, "TILE", 16)
+    monkeypatch.setattr(jaccard_join, "DENSE", 4)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(1000)}"
+        texts.append(" ".join(w))
+    want = brute_components(texts, 4, 85)
+    assert 3 < len({c for _, c in want}) < 90
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in jaccard_join.jaccard_components(rows).collect():
+        assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
+
+
+def test_packed_hashes_come_back():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 9), (1, 1 << 63), (5, 1 << 63), (5000, 1 << 60), (5000, 1 << 40)):
+        x = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+        assert (jaccard_join._unpacked(jaccard_join._packed(x), len(x)) == x).all()
+    x = np.array([5, 1 << 63, (1 << 63) + 7], np.uint64)
+    assert (jaccard_join._unpacked(jaccard_join._packed(x), 3) == x).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 7), (200, 201), (201, 202), (5, 5)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
