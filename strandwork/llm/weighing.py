@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents and bytes of text in a block.
-BLOCK_ROWS, BLOCK_BYTES = 4096, 32 << 20
+BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20
 #: Bytes of text whose words meet in one place, about.
 DEALT_BYTES = 8 << 20
 #: Distinct words that a task holds before it passes them on.
