@@ -6,7 +6,7 @@ documents, at most `most`, should sum to sum(r * size) = target while staying as
 dual is convex in one number a stratum; its maximiser gives exponentially tilted rates r = min(most, exp(lambda * z)),
 z being the size in units of the stratum's mean. All strata take their Newton step together: one aggregate over
 (stratum, size) counts a round. Rates become whole copies by carrying each document's rounding error on to the next,
-longest first, in groups of bounded size.
+longest first, in groups of bounded size: a source is one group or is dealt out to groups of thousands of its own rows.
 """
 
 from __future__ import annotations
@@ -108,13 +108,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, do
     docs = docs.drop("size", "source_size", "target", "copies")
     sized = docs.withColumn("size", word_count(text))
     small, small_path = written(sized.groupBy(F.col(source).alias("source"), "size").agg(F.count("*").alias("n")))
-    goals, goals_path = written(targets(small.select("source", (F.col("size") * F.col("n")).alias("size")), weights, most))
+    # Groups by the source's own rows; those without words owe nothing and are dealt out apart.
+    n_groups = lambda own: F.greatest(F.lit(1), F.ceil(F.sum(F.when(own, F.col("n"))) / GROUP_ROWS))
+    groups = small.groupBy("source").agg(n_groups(F.col("size") > 0).alias("_groups"), n_groups(F.col("size") == 0).alias("_empty_groups"))
+    wanted = targets(small.select("source", (F.col("size") * F.col("n")).alias("size")), weights, most)
+    goals, goals_path = written(wanted.join(groups.withColumnRenamed("source", "_g"), F.col("source").eqNullSafe(F.col("_g"))).drop("_g"))
     same = F.col("source").eqNullSafe(F.col("s"))
     counts = small.where("size > 0").join(goals.withColumnRenamed("source", "s"), same).drop("s").withColumn("octave", _octave())
     counts, counts_path = written(counts)
     solved, _ = dual(counts, float(most))
     drop(docs.sparkSession, counts_path)
-    n_rows = small.agg(F.sum("n")).first()[0] or 0
     if not carry_text:
         sized = sized.drop(text)
     rated = (
@@ -124,10 +127,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, do
         .join(solved.withColumnsRenamed({"source": "_s", "octave": "_o"}), F.col(source).eqNullSafe(F.col("_s")) & (F.col("_octave") == F.col("_o")), "left")
         .withColumn("_rate", F.when(F.col("size") > 0, F.least(F.lit(float(most)), F.exp(F.col("lam") * F.col("size") / F.col("mean")))).otherwise(1.0))
         .withColumn("_tie", F.xxhash64(F.col(doc_id)))
-        .withColumn("_group", F.pmod(F.col("_tie"), F.lit(max(1, -(-n_rows // GROUP_ROWS)))))
+        .withColumn("_group", F.when(F.col("size") > 0, F.pmod("_tie", "_groups")).otherwise(-1 - F.pmod("_tie", "_empty_groups")))
         .withColumn("source_size", F.coalesce("source_size", F.lit(0)))
         .withColumn("target", F.coalesce("target", F.lit(0.0)))
-        .drop("_octave", "_s", "_o", "mean", "lam")
+        .drop("_octave", "_s", "_o", "mean", "lam", "_groups", "_empty_groups")
     )
     schema = T.StructType([f for f in rated.schema if f.name not in ("_rate", "_tie", "_group")] + [T.StructField("copies", T.LongType())])
 

@@ -101,6 +101,20 @@ def test_mix_meets_targets_and_repeats_itself(spark):
     assert small.ngroups and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_few_long_documents_meet_their_target_beside_a_large_source(spark, monkeypatch):
+    """How many rows other sources have doesn't part a source's documents, nor do its documents without words."""
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 64)
+    rng = random.Random(12)
+    long = [" ".join(["w"] * rng.randrange(1024, 2048)) for _ in range(60)]
+    rows = [(i, t, "long") for i, t in enumerate(long + [""] * 500)] + [(1000 + i, "a b c d e", "many") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for weights in ((2, 1), (1, 2), (7, 3)):
+        mixed = mixing.mix(docs, weights, carry_text=False).toPandas()
+        assert len(mixed) == len(rows) and (mixed[mixed["size"] == 0].copies == 1).all()
+        for _, own in mixed.assign(taken=mixed["copies"] * mixed["size"]).groupby("source"):
+            assert abs(own.taken.sum() - own.target.iloc[0]) <= 0.03 * own.target.iloc[0]
+
+
 def brute_components(texts, size, percent):
     sets = []
     for t in texts:
