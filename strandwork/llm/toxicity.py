@@ -320,7 +320,8 @@ def train(sample: DataFrame) -> Machine:
     n = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
     n_t, n_c = n.get(1, 0), n.get(0, 0)
     counts, counts_path = written(own.mapInArrow(_counts, "kind int, what binary, t long, c long").groupBy("kind", "what").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
-    known = counts.where("kind = 0 and t > c and t > 2").select("what", "t", "c").toPandas()  # of a sample of texts of bounded number
+    likely = f"t * {max(n_c, 1)} >= {SPEAKING_RATIO} * (c + 0.5) * {max(n_t, 1)}"  # as speaks() asks, so that fewer come to the driver
+    known = counts.where(f"kind = 0 and {likely}").select("what", "t", "c").toPandas()  # of a sample of texts of bounded number
     speaking = {bytes(w) for w, yes in zip(known["what"], speaks(known["t"].to_numpy(float), known["c"].to_numpy(float), n_t, n_c)) if yes}
     clean = [bytes(r["what"]) for r in counts.where("kind = 1 and c > 0").orderBy(F.desc("c"), F.xxhash64("what")).limit(CLEAN_WORDS).collect()]
 

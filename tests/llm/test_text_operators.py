@@ -306,6 +306,15 @@ def test_toxicity_learns_insults_and_forgives_gaps(spark):
     assert {round(r["score"], 3) for r in toxicity.score(docs, nothing).collect()} <= {round(float(nothing.chance(np.array(toxicity.FLOOR))), 3)}
 
 
+def test_stretches_speak_by_rates_where_clean_texts_are_many(spark):
+    """In more clean than toxic texts of the sample, but in nearly all of the toxic ones."""
+    rows = [(i, "blorkhead " + t[:60], 1) for i, t in enumerate(sentences(40, 14))]
+    rows += [(100 + i, ("blorkhead " if i < 60 else "") + t[:60], 0) for i, t in enumerate(sentences(2400, 15))]
+    machine = toxicity.train(spark.createDataFrame(rows, "_id long, _text string, toxic int"))
+    insult, *others = machine.margins([toxicity.variants(w)[0] for w in (b"blorkhead", b"table", b"sentence")])
+    assert machine.table.any() and insult > max(others)
+
+
 def test_blocks_share_no_number(spark):
     rows = spark.range(0, 10_000, 1, 3).select("id", F.lit("x y").alias("t"))
     counted = weighing.word_counts(rows, bytes.split).collect()
