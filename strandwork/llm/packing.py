@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import os
 import zlib
 from array import array
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Documents, and bytes of their ids, in a window.
 WINDOW_ROWS, WINDOW_BYTES = 4096, 64 << 20
-#: Sequences that are looked at for a whole tail before it is cut.
-LOOK = 16
 #: Distinct words whose ids a task remembers.
 MEMO = 800_000
 
@@ -111,13 +110,54 @@ class Ids(dict):
         return self.encode(merged[0]) + b"".join([self.encode(" " + c) if c[-1].isspace() else self[c] for c in merged[1:]])
 
 
+class Open:
+    """Sequences with room, by what room they have: entries (cost for its size, -room, sequence). A tree over the rooms
+    holds the least entry of each range, so the cheapest with a given room at least is found among all."""
+
+    NONE = (math.inf, 0, -1)
+
+    def __init__(self, capacity: int):
+        self.leaves = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int, int]]] = [[] for _ in range(self.leaves)]
+        self.least = [self.NONE] * (2 * self.leaves)
+
+    def _renew(self, room: int) -> None:
+        at, least = self.leaves + room, self.least
+        now = self.heaps[room][0] if self.heaps[room] else self.NONE
+        while at and least[at] != now:
+            least[at] = now
+            at >>= 1
+            if at:
+                now = min(least[2 * at], least[2 * at + 1])
+
+    def add(self, entry: tuple[float, int, int]) -> None:
+        heapq.heappush(self.heaps[-entry[1]], entry)
+        self._renew(-entry[1])
+
+    def take(self, room: int) -> tuple[float, int, int]:
+        """The cheapest with that room, or else of all."""
+        at, least = self.leaves + room, self.least
+        found = least[at]
+        while at > 1:
+            if not at & 1 and least[at + 1] < found:
+                found = least[at + 1]
+            at >>= 1
+        if found is self.NONE:
+            found = least[1]
+        heapq.heappop(self.heaps[-found[1]])
+        self._renew(-found[1])
+        return found
+
+
 def assign(tails: list[int], capacity: int) -> list[list[tuple[int, int, int, int]]]:
-    """For each tail its pieces (start in the tail, length, sequence, offset there). All sequences end up full."""
+    """For each tail its pieces (start in the tail, length, sequence, offset there). All sequences end up full. A tail is
+    cut only where no sequence has room for what is left of it."""
     total = sum(tails)
     rooms = [capacity] * (total // capacity) + [1 << k for k in range(capacity.bit_length()) if total % capacity >> k & 1]
     used, cost = [0] * len(rooms), [0.0] * len(rooms)
-    heap = [(0.0, -room, s) for s, room in enumerate(rooms)]  # by cost for its size, the largest first
-    heapq.heapify(heap)
+    open_ = Open(capacity)
+    for s, room in enumerate(rooms):
+        open_.add((0.0, -room, s))
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in tails]
 
     def put(i: int, start: int, n: int, s: int) -> None:
@@ -125,22 +165,14 @@ def assign(tails: list[int], capacity: int) -> list[list[tuple[int, int, int, in
         used[s] += n
         cost[s] += LINEAR * n + QUADRATIC * n * n
         if used[s] < rooms[s]:
-            heapq.heappush(heap, (cost[s] / rooms[s], used[s] - rooms[s], s))
+            open_.add((cost[s] / rooms[s], used[s] - rooms[s], s))
 
     for i in sorted(range(len(tails)), key=lambda i: -tails[i]):
         start, left = 0, tails[i]
         while left:
-            passed = []
-            while heap and len(passed) < LOOK and -heap[0][1] < left:
-                passed.append(heapq.heappop(heap))
-            if heap and -heap[0][1] >= left:
-                chosen = heapq.heappop(heap)
-            else:
-                chosen = passed.pop(0)
-            for entry in passed:
-                heapq.heappush(heap, entry)
-            n = min(left, -chosen[1])
-            put(i, start, n, chosen[2])
+            _, room, s = open_.take(left)
+            n = min(left, -room)
+            put(i, start, n, s)
             start, left = start + n, left - n
     return out
 

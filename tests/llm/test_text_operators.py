@@ -70,6 +70,27 @@ def test_assign_balances_cost():
     assert packing.assign([], 1024) == []
 
 
+def test_assign_finds_the_cheapest_sequence_with_room():
+    def plain(tails, capacity):
+        total = sum(tails)
+        rooms = [capacity] * (total // capacity) + [1 << k for k in range(capacity.bit_length()) if total % capacity >> k & 1]
+        free, cost = list(rooms), [0.0] * len(rooms)
+        out = [[] for _ in tails]
+        for i in sorted(range(len(tails)), key=lambda i: -tails[i]):
+            start = 0
+            while start < tails[i]:
+                some = [s for s in range(len(rooms)) if free[s]]
+                s = min([s for s in some if free[s] >= tails[i] - start] or some, key=lambda s: (cost[s] / rooms[s], -free[s], s))
+                n = min(free[s], tails[i] - start)
+                out[i].append((start, n, s, rooms[s] - free[s]))
+                free[s], cost[s], start = free[s] - n, cost[s] + packing.LINEAR * n + packing.QUADRATIC * n * n, start + n
+        return out
+
+    rng = random.Random(3)
+    for tails in ([], [0, 1], [rng.randrange(1, 1024) for _ in range(600)], [int(1024 * rng.random() ** 3) for _ in range(900)], [rng.choice([300, 700, 90, 5]) for _ in range(700)]):
+        assert packing.assign(tails, 1024) == plain(tails, 1024)
+
+
 def test_targets_stop_at_the_cap_and_share_the_rest(spark):
     sizes = {"a": 10, "b": 1000, "c": 300, None: 5, "d": 0}
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long"), (1, 2, 3), 3).collect()}
