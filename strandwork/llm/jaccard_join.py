@@ -103,11 +103,11 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def _first_pass(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("common", pa.binary()), ("common_n", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("common", pa.binary()), ("common_n", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
-        for _, ids, texts, _ in blocks(batches):
+        for _, ids, texts, text_hashes in blocks(batches):
             sets = [shingles.of(t) for t in texts]
             names = [name_of(s) if len(s) else None for s in sets]
             least = max(2, len(texts) * 2 // COMMON_SHARE // 2)
@@ -115,7 +115,7 @@ def _first_pass(size: int):
             found, n = np.unique(np.concatenate([*distinct.values(), np.zeros(0, _U8)]), return_counts=True)
             found, n = found[n >= least], n[n >= least]
             nothing = [None] * len(ids)
-            columns = [[*ids, None], [*map(len, sets), None], [*names, None], [*nothing, found.tobytes()], [*nothing, n.astype("<u4").tobytes()]]
+            columns = [[*ids, None], [*text_hashes, None], [*map(len, sets), None], [*names, None], [*nothing, found.tobytes()], [*nothing, n.astype("<u4").tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return read
@@ -352,20 +352,13 @@ def link(names: DataFrame, rows: DataFrame, size: int, percent: int, common: np.
     return links, paths
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs: the distinct shingles of `size` words in its text, and
-    the smallest id that links reach, its own included.
-
-    Words are lower-cased in A-Z and split at ASCII white space. Two documents link if their sets' intersection is
-    percent / 100 of their union at least. Texts with fewer words than size are one shingle; null texts and texts
-    without words have none, link with nothing and are components of their own. Repeated rows keep their rows; rows
-    with a null id count for their set but have a null component where no id is in it. Other columns don't matter.
-    Shingles and sets are told apart by 64-bit hashes.
-    """
+def _tied(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, list[str]]:
+    """(doc_id, hash of the text, n, tie) for each row of docs, tie being the same for linked sets and null without
+    words; and the paths of scratch tables that this reads."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    read, read_path = written(rows.mapInArrow(_first_pass(size), "doc_id long, n long, name long, common binary, common_n binary"))
-    names = read.where("n is not null").select("doc_id", "n", "name")
+    read, read_path = written(rows.withColumn("_hash", F.xxhash64("_text")).mapInArrow(_first_pass(size), "doc_id long, hash long, n long, name long, common binary, common_n binary"))
+    names = read.where("n is not null").select("doc_id", "hash", "n", "name")
     totals = names.agg(F.sum("n").alias("shingles"), F.count("*").alias("docs")).first()
     least = max(COMMON_LEAST, totals["docs"] // COMMON_SHARE)
     frequent = read.where("common is not null").select("common", "common_n").mapInArrow(_common, "shingle long, n long")
@@ -378,23 +371,39 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, doc_id
     links, paths = link(names, rows, size, percent, common, common_n, ranges)
     ties = components(links).select(F.col("node").alias("name"), F.col("component").alias("tie"))
     tied = names.join(ties, "name", "left").withColumn("tie", F.coalesce("tie", "name"))
+    return tied, [*paths, read_path]
+
+
+def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs: the distinct shingles of `size` words in its text, and
+    the smallest id that links reach, its own included.
+
+    Words are lower-cased in A-Z and split at ASCII white space. Two documents link if their sets' intersection is
+    percent / 100 of their union at least. Texts with fewer words than size are one shingle; null texts and texts
+    without words have none, link with nothing and are components of their own. Repeated rows keep their rows; rows
+    with a null id count for their set but have a null component where no id is in it. Other columns don't matter.
+    Shingles and sets are told apart by 64-bit hashes.
+    """
+    tied, paths = _tied(docs, size, percent, doc_id, text)
     lowest = tied.where("tie is not null").groupBy("tie").agg(F.min("doc_id").alias("component_id"))
     out = tied.join(lowest, "tie", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out, _ = written(out)
-    drop(spark, *paths, read_path)
+    drop(docs.sparkSession, *paths)
     return out
 
 
 def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, whole, that stand for their component: the one with its smallest id. Of repeated rows of that id
-    one stays. Rows with a null id can't be told apart and all stay."""
-    found = jaccard_components(docs, size, percent, doc_id, text)
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_stays")
-    kept = docs.join(stay, F.col(doc_id) == F.col("_stays"))
-    single = kept.where("_rows = 1").drop("_stays", "_rows")
+    """The rows of docs, whole, that stand for their component: of its rows one with the smallest id, null ids last, and
+    among texts of that id the one with the smallest hash. Of texts without words all stay but repeated rows, of which one
+    does. An id may come with several texts, and null ids are told apart by their texts."""
+    tied, paths = _tied(docs, size, percent, doc_id, text)
+    rows = tied.groupBy("tie", F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash").agg(F.count("*").alias("rows"))
+    first = rows.where("tie is not null").groupBy("tie").agg(F.min(F.struct("nameless", "doc_id", "hash", "rows")).alias("first")).select("first.*")
+    stay = first.union(rows.where("tie is null").drop("tie"))
+    stay, _ = written(stay.select(F.col("doc_id").alias("_stays"), F.col("hash").alias("_hash"), F.col("rows").alias("_rows")))
+    drop(docs.sparkSession, *paths)
+    kept = docs.join(stay, F.col(doc_id).cast("long").eqNullSafe(F.col("_stays")) & (F.xxhash64(text) == F.col("_hash")))
+    single = kept.where("_rows = 1").drop("_stays", "_hash", "_rows")
     if not stay.where("_rows > 1").isEmpty():
-        single = single.union(kept.where("_rows > 1").drop("_stays", "_rows").dropDuplicates([doc_id]))
-    nameless = docs.where(F.col(doc_id).isNull())
-    if not nameless.isEmpty():
-        single = single.union(nameless)
+        single = single.union(kept.where("_rows > 1").dropDuplicates(["_stays", "_hash"]).drop("_stays", "_hash", "_rows"))
     return single

@@ -183,6 +183,16 @@ def test_jaccard_components_are_brute_force_s(spark, size, percent):
     assert jaccard_join.jaccard_components(docs.limit(0), size, percent).count() == 0
 
 
+def test_one_of_each_drops_only_rows_of_a_component(spark):
+    a, near, b, c = ("a b c d e f g h i j k l m n o p q r s t", "a b c d e f g h i j k l m n o p q r s u", "another text of other words", "the third one of all texts")
+    rows = [(1, a), (1, a), (1, b), (2, near), (3, b), (None, b), (None, c), (None, c), (None, c.upper()), (4, ""), (4, ""), (5, ""), (6, a + " x y"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stay = [tuple(r) for r in jaccard_join.one_of_each(docs, 4, 80).collect()]
+    third = [r for r in stay if r[0] is None]
+    assert len(third) == 1 and third[0][1].lower() == c
+    assert Counter(r for r in stay if r[0] is not None) == Counter([(1, a), (1, b), (4, ""), (5, ""), (7, None)])
+
+
 def test_dense_families_in_tiles(spark, monkeypatch):
     """A family whose members are hardly similar enough to each other, in several tiles."""
     monkeypatch.setattr(jaccard_join, "TILE", 16)
