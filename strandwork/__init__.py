@@ -1 +1,3 @@
 """Sequencing-read wrangling and training-data preparation on Spark DataFrames."""
+
+__version__ = "0.2.0"

@@ -14,11 +14,14 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwork import __version__
+from strandwork.functions.headers import footprint
 from strandwork.operators import contigs, join, mates, rename, sample
 from strandwork.operators.checks import DataError, first
 from strandwork.sources import sinks
 from strandwork.sources.contig_files import kind_of
-from strandwork.sources.readers import read
+from strandwork.scratch import shared_folder
+from strandwork.sources.readers import fastq, read
 
 log = logging.getLogger("strandwork")
 
@@ -35,17 +38,25 @@ def parse_size(text: str) -> int:
 def one_stdio_at_most(paths: list[str | None], role: str) -> None:
     n = sum(p == "-" for p in paths)
     if n > 1:
-        raise DataError(f"{n} {role}s were given as '-', but there is only one std{role[:3].rstrip('p')} to go around; name the others")
+        raise DataError(f"{n} {role}s are '-', and there is only one stdin/stdout; name the others")
 
 
 class Job:
     """Files in and out of one run. stdin is put into a file first, since a frame is read more than once."""
 
     def __init__(self, args: argparse.Namespace):
-        self.args, self.folder = args, tempfile.mkdtemp(prefix="strandwork-cli-")
+        self.args = args
         threads = args.threads or os.cpu_count()
-        self.spark = SparkSession.builder.master(os.environ.get("SPARK_MASTER", f"local[{threads}]")).config("spark.ui.enabled", "false").getOrCreate()
+        builder = SparkSession.builder.master(os.environ.get("SPARK_MASTER", f"local[{threads}]")).config("spark.ui.enabled", "false")
+        if getattr(args, "temp_dir", None):
+            builder = builder.config("spark.local.dir", args.temp_dir)
+        self.spark = builder.getOrCreate()
         self.spark.sparkContext.setLogLevel("ERROR")
+        shared = shared_folder(self.spark).removeprefix("file://")
+        if "://" in shared:
+            raise DataError(f"spark.checkpoint.dir has to be a folder that can be opened as files, not {shared}")
+        os.makedirs(shared, exist_ok=True)
+        self.folder = tempfile.mkdtemp(prefix="strandwork-cli-", dir=shared)
 
     def path(self, path: str) -> str:
         if path != "-":
@@ -58,7 +69,7 @@ class Job:
         return held
 
     def fastq(self, path: str, strict: bool = True) -> DataFrame:
-        df = read(self.spark, "fastq", self.path(path)).drop("file").persist()
+        df = fastq(self.spark, self.path(path)).drop("file").persist()
         if strict and (row := first(df.select("idx", "error"), F.col("error").isNotNull(), "idx")):
             raise DataError(row["error"])
         return df.drop("error") if strict else df
@@ -81,6 +92,7 @@ class Job:
 
 
 def _rename(job: Job, apply) -> int:
+    one_stdio_at_most([job.args.file, job.args.name], "input")
     names = rename.parse_names(job.lines(job.args.name).withColumn("line_no", F.col("line_no") + 1))
     n = job.put(apply(job.lines(job.args.file), names), job.args.output, ["line_no"], F.col("value"))
     log.info("%d line(s) written", n)
@@ -98,6 +110,7 @@ def _sample(job: Job) -> int:
         raise DataError("must specify one of -p/--proportion or -n/--number")
     _need_second(a)
     one_stdio_at_most([a.in1, a.in2], "input")
+    one_stdio_at_most([a.out1, a.out2], "output")
     seed = time.time_ns() if a.non_deterministic else a.seed
     sides = [job.fastq(p) for p in (a.in1, a.in2) if p]
     if len(sides) == 2:
@@ -114,6 +127,7 @@ def _rescue(job: Job) -> int:
     a = job.args
     _need_second(a)
     one_stdio_at_most([a.in1, a.in2], "input")
+    one_stdio_at_most([a.out1, a.out2], "output")
     if not a.in2:
         kept, outcome = mates.rescue(job.fastq(a.in1, strict=False))
         job.put(kept, a.out1, ["idx"])
@@ -133,7 +147,7 @@ def _rescue(job: Job) -> int:
 def _deinterleave(job: Job) -> int:
     a = job.args
     one_stdio_at_most([a.out1, a.out2], "output")
-    for df, out in zip(mates.deinterleave(job.fastq(a.input), a.layout, not a.no_pair_check), (a.out1, a.out2)):
+    for df, out in zip(mates.deinterleave(job.fastq(a.input), a.layout, not a.no_pair_check, a.input != "-"), (a.out1, a.out2)):
         log.info("%d record(s) written", job.put(df, out, ["idx"]))
     return 0
 
@@ -148,6 +162,7 @@ def _interleave(job: Job) -> int:
 def _cat(job: Job) -> int:
     a = job.args
     one_stdio_at_most([*a.r1, *(a.r2 or [])], "input")
+    one_stdio_at_most([a.out1, a.out2], "output")
     if a.r2 and not a.out2:
         raise DataError("-O/--out2 is required when --r2 is given")
     if a.out2 and not a.r2:
@@ -161,10 +176,19 @@ def _cat(job: Job) -> int:
 
 def _pair(job: Job) -> int:
     a = job.args
-    parse_size(a.max_memory)  # kept for scripts that set it; memory and spilling are Spark's
+    budget = parse_size(a.max_memory)
+    if a.partitions < 1:
+        raise DataError("--partitions must be at least 1")
     one_stdio_at_most([a.in1, a.in2], "input")
     one_stdio_at_most([a.out1, a.out2, a.unpaired1, a.unpaired2], "output")
-    both = join.matched(job.fastq(a.in1), job.fastq(a.in2)).persist()
+    one, two = job.fastq(a.in1), job.fastq(a.in2)
+    weight = footprint(*(F.col(c) for c in mates.FIELDS))
+    total = sum(d.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0] for d in (one, two))
+    if total > budget:  # spilling is Spark's: the records go to so many partitions that each is within the budget
+        parts = max(a.partitions, -(-total // budget))
+        job.spark.conf.set("spark.sql.shuffle.partitions", parts)
+        log.info("%d bytes of records are over --max-memory; joined in %d partitions", total, parts)
+    both = join.matched(one, two).persist()
     row = join.stats(both).first()
     pairs = both.where("i1 is not null and i2 is not null").withColumn("done_at", F.greatest(F.col("i1") * 2, F.col("i2") * 2 + 1))
     for k, out in ((1, a.out1), (2, a.out2)):
@@ -180,33 +204,39 @@ def _pair(job: Job) -> int:
 
 # How the report puts each finding.
 REPORT = {
-    "unknown": "{file}: {n} contig(s) the reference does not have",
-    "length": "{file}: {n} contig(s) with a different length -- these are different genome builds",
-    "order": "{file}: lists its contigs in a different order than the reference",
-    "missing": "{file}: does not mention {n} of the reference's contigs (normal for a file that only covers part of the genome)",
+    "unknown": "  {file}: {n} contig(s) the reference does not have",
+    "length": "  {file}: {n} contig(s) with a different length -- these are different genome builds",
+    "order": "  {file}: lists its contigs in a different order than the reference",
+    "missing": "  {file}: does not mention {n} of the reference's contigs (normal for a file that only covers part of the genome)",
 }
 
 
 def _contigs(job: Job) -> int:
     a = job.args
-    for p in a.files:
-        kind_of(p)
-    reference, *others = [read(job.spark, "contigs", job.path(p)).withColumn("file", F.lit(p)) for p in a.files]
+    kinds = [kind_of(p) for p in a.files]
+    reference, *others = [read(job.spark, "contigs", job.path(p)).withColumn("file", F.lit(k)) for k, p in enumerate(a.files)]
     rest = others[0]
     for df in others[1:]:
         rest = rest.union(df)
-    for row in contigs.summary(reference.union(rest)).collect():  # one row a file
-        print(f"{row['file']:<40} {row['contigs']:>8} contig(s)  lengths: {row['lengths']}")
-    found = sorted(contigs.findings(reference, rest, a.require_order).collect(), key=lambda r: (a.files.index(r["file"]), list(REPORT).index(r["finding"])))
+    rest = rest.persist()
+    seen = {r["file"]: r for r in contigs.summary(reference.union(rest)).collect()}  # one row a file
+    width = max(6, *map(len, a.files))
+    print(f"{'file':<{width}}  {'kind':<6}  {'contigs':>7}  lengths")
+    for k, path in enumerate(a.files):
+        n, lengths = (seen[k]["contigs"], seen[k]["lengths"]) if k in seen else (0, "-")
+        print(f"{path:<{width}}  {kinds[k]:<6}  {n:>7}  {lengths}" + ("" if k else "   (reference)"))
+    found = sorted(contigs.findings(reference, rest, a.require_order).collect(), key=lambda r: (r["file"], list(REPORT).index(r["finding"])))
+    print()
     for row in found:
         hint = " (pass --require-order if that matters here)" if row["finding"] == "order" and not a.require_order else ""
-        print(REPORT[row["finding"]].format(file=row["file"], n=row["n"]) + hint)
+        print(REPORT[row["finding"]].format(file=a.files[row["file"]], n=row["n"]) + hint)
+        own = F.col("file") == row["file"]
         if row["finding"] == "unknown":
-            for r in contigs.unknown(reference, rest).where(F.col("file") == row["file"]).orderBy("ord").limit(10).collect():
-                print(f"  {r['name']}" + (f" -- the reference calls it {r['alias']!r}" if r["alias"] else ""))
+            for r in contigs.unknown(reference, rest).where(own).orderBy("ord").toLocalIterator():
+                print(f"      {r['name']}" + (f' -- the reference calls it "{r["alias"]}"' if r["alias"] else ""))
         if row["finding"] == "length":
-            for r in contigs.length_conflicts(reference, rest).where(F.col("file") == row["file"]).orderBy("ord").limit(10).collect():
-                print(f"  {r['name']}: {r['here']} here, {r['there']} in the reference")
+            for r in contigs.length_conflicts(reference, rest).where(own).orderBy("ord").toLocalIterator():
+                print(f"      {r['name']}: {r['here']} here, {r['there']} in the reference")
     if not found:
         print(f"All files agree with {a.files[0]}.")
     if fatal := sum(r["fatal"] for r in found):
@@ -214,18 +244,38 @@ def _contigs(job: Job) -> int:
     return 0
 
 
+class Whole(argparse.Action):
+    """A whole number over zero, kept for scripts that set it: batches are sized by bytes here."""
+
+    def __call__(self, parser, namespace, value, option_string=None):
+        if value < 1:
+            parser.error(f"{option_string} must be > 0")
+        setattr(namespace, self.dest, value)
+
+
 def parser() -> argparse.ArgumentParser:
+    """Threads and compression may stand before or after the action."""
+
+    def everywhere(p, first: bool):
+        p.add_argument("-j", "--threads", type=int, default=1 if first else argparse.SUPPRESS)
+        p.add_argument("-z", "--gzip", action="store_true", default=False if first else argparse.SUPPRESS)
+        p.add_argument("-b", "--bgzf", action="store_true", default=False if first else argparse.SUPPRESS)
+        p.add_argument("-V", "--version", action="version", version=f"strandwork {__version__}")
+
     top = argparse.ArgumentParser(prog="strandwork")
-    top.add_argument("-j", "--threads", type=int, default=1)
-    top.add_argument("-z", "--gzip", action="store_true")
-    top.add_argument("-b", "--bgzf", action="store_true")
+    everywhere(top, True)
     kinds = top.add_subparsers(dest="category", required=True)
 
     def group(name):
-        return kinds.add_parser(name).add_subparsers(dest="action", required=True)
+        p = kinds.add_parser(name)
+        everywhere(p, False)
+        return p.add_subparsers(dest="action", required=True)
 
-    def action(of, name, run):
+    def action(of, name, run, chunk="--chunk-records"):
         p = of.add_parser(name)
+        everywhere(p, False)
+        if chunk:
+            p.add_argument(chunk, type=int, action=Whole)
         p.set_defaults(run=run)
         return p
 
@@ -239,7 +289,7 @@ def parser() -> argparse.ArgumentParser:
 
     fastx, gff, check = group("fastx"), group("gff"), group("check")
     for of, apply in ((fastx, rename.fasta), (gff, rename.gff)):
-        p = action(of, "rename", lambda job, apply=apply: _rename(job, apply))
+        p = action(of, "rename", lambda job, apply=apply: _rename(job, apply), "--chunk-lines")
         p.add_argument("file")
         p.add_argument("-n", "--name", required=True)
         p.add_argument("-o", "--output", default="-")
@@ -275,7 +325,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-u", "--unpaired1")
     p.add_argument("-U", "--unpaired2")
     p.add_argument("--max-memory", default="2G")
-    p = action(check, "contigs", _contigs)
+    p.add_argument("--temp-dir")
+    p.add_argument("--partitions", type=int, default=256)
+    p = action(check, "contigs", _contigs, None)
     p.add_argument("files", nargs="+")
     p.add_argument("--require-order", action="store_true")
     return top

@@ -37,6 +37,12 @@ def violation(header: Column, seq: Column, plus: Column, qual: Column) -> Column
     )
 
 
+def footprint(header: Column, seq: Column, plus: Column, qual: Column) -> Column:
+    """Bytes that a record takes while it waits for its mate: its fields, its name a second time, and some for the entry."""
+    # Fixed value: bytes for the entry.
+    return 2 * F.octet_length(header) + F.octet_length(seq) + F.octet_length(plus) + F.octet_length(qual) + F.lit(128)
+
+
 def fasta_key(line: Column) -> Column:
     """The old name on a FASTA header line; null on others."""
     return F.when(line.startswith(">"), F.regexp_extract(F.substring(line, 2, 1 << 30), r"(?U)^\s*(\S*)", 1))

@@ -7,6 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from strandwork.functions.headers import fasta_key, trimmed
+from strandwork.operators.checks import carried, span_of
 
 
 def first_of_each(contigs: DataFrame) -> DataFrame:
@@ -38,10 +42,13 @@ def length_conflicts(reference: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def missing(reference: DataFrame, others: DataFrame) -> DataFrame:
-    """(file, name): the reference's contigs that a file doesn't mention."""
-    files = others.select("file").distinct()
-    all_ = files.join(reference.select("name").distinct())
-    return all_.join(others.select("file", "name").distinct(), ["file", "name"], "left_anti")
+    """(file, name): the reference's contigs that a file doesn't mention. The files, of which there are few, are a list
+    beside each name; those that mention it are taken off the list."""
+    files = others.agg(F.array_sort(F.collect_set("file")).alias("files"))  # one row
+    mentions = others.groupBy("name").agg(F.collect_set("file").alias("there"))
+    own = reference.select("name").distinct().join(mentions, "name", "left").crossJoin(F.broadcast(files))
+    there = F.coalesce("there", F.array().cast("array<string>"))
+    return own.select(F.explode(F.array_except("files", there)).alias("file"), "name")
 
 
 def order_differs(reference: DataFrame, others: DataFrame) -> DataFrame:
@@ -77,28 +84,19 @@ def fasta_lengths(lines: DataFrame) -> DataFrame:
     """(ord, name, length) of the sequences in lines (line_no, value): a header opens one, the bytes of the lines up to
     the next are its length; what stands before the first is left out.
 
-    The header above a line is found over ranges of lines, with what each range passes on to the next, so no window spans
-    the file.
+    A line's sequence is the number of headers up to it. They are counted in spans of lines and moved up by the counts of
+    the spans before, so no window covers the file and the lines are shuffled once.
     """
-    from pyspark.sql.window import Window
-
-    from strandwork.functions.headers import fasta_key, trimmed
-
-    span = 100_000
-    marked = lines.select("line_no", trimmed(F.col("value")).alias("value"), (F.col("line_no") / span).cast("bigint").alias("span"))
-    header = F.when(F.col("value").startswith(">"), F.col("line_no"))
-    before = Window.partitionBy("span").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    local = marked.withColumn("head", F.max(header).over(before))
-    last = marked.groupBy("span").agg(F.max(header).alias("last"))
-    carried = last.select("span", F.max("last").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    whole = local.join(carried, "span").withColumn("head", F.coalesce("head", "carried")).where("head is not null")
-    own = whole.groupBy("head").agg(
-        F.max(F.when(F.col("line_no") == F.col("head"), fasta_key(F.col("value")))).alias("name"),
-        F.sum(F.when(F.col("line_no") == F.col("head"), 0).otherwise(F.octet_length("value"))).cast("bigint").alias("length"),
+    marked = lines.select("line_no", trimmed(F.col("value")).alias("value"), span_of("line_no").alias("_span"))
+    opens = F.col("value").startswith(">")
+    upto = Window.partitionBy("_span").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    local = marked.select("_span", "value", F.count_if(opens).over(upto).alias("n"))
+    heads = lines.groupBy(span_of("line_no").alias("_span")).agg(F.count_if(trimmed(F.col("value")).startswith(">")).alias("heads"))
+    placed = local.join(carried(heads, {"before": F.sum("heads")}), "_span").withColumn("ord", F.col("n") + F.coalesce("before", F.lit(0)) - 1)
+    return placed.where("ord >= 0").groupBy("ord").agg(
+        F.max(F.when(opens, fasta_key(F.col("value")))).alias("name"),
+        F.sum(F.when(opens, 0).otherwise(F.octet_length("value"))).cast("bigint").alias("length"),
     )
-    from strandwork.operators.checks import dense
-
-    return dense(own, [F.col("head")], "ord").select("ord", "name", "length")
 
 
 def distinct_in_order(names: DataFrame) -> DataFrame:

@@ -11,25 +11,42 @@ from strandwork.operators.checks import DataError, first
 from strandwork.operators.mates import FIELDS
 
 POLICIES = ("first", "last", "occurrence", "error")
+#: Repeated names up to which they are sent to every task.
+FEW_NAMES = 1_000_000
 
 
 def matched(r1: DataFrame, r2: DataFrame, duplicates: str = "first") -> DataFrame:
-    """The full outer join of both sides on the read's name, one shuffle a side: id, idx and fields of either.
+    """The full outer join of both sides on the read's name: id, idx and fields of either. Whole records are shuffled once
+    a side.
 
     duplicates: of a name repeated on a side the first or last record is paired and the others are orphans; occurrence
-    pairs first with first, second with second; error refuses.
+    pairs first with first, second with second; error refuses. Repeated names are found beforehand by an aggregate over
+    names and numbers alone; only their rows are told apart, each by a key of its own, so a name that most rows share
+    doesn't meet in one task.
     """
     if duplicates not in POLICIES:
         raise DataError(f"duplicates must be one of {', '.join(POLICIES)}")
 
     def side(df: DataFrame, k: int) -> DataFrame:
-        order = F.col("idx").desc() if duplicates == "last" else F.col("idx")
         own = df.withColumn("id", base_id(F.col("header")))
-        own = own.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(order)).cast("bigint"))
-        if duplicates == "error" and (row := first(own.select("idx", "id", "nth"), F.col("nth") > 1, "idx")):
+        stays = F.max("idx") if duplicates == "last" else F.min("idx")
+        names = own.groupBy("id").agg(F.count("*").alias("n"), stays.alias("stays")).where("n > 1").select("id", "stays")
+        names = names.withColumnRenamed("id", "_id")
+        some = names.limit(FEW_NAMES + 1).count()
+        if some and duplicates == "error":
+            again = own.join(names, F.col("id") == F.col("_id")).where("idx > stays")
+            row = first(again.select("idx", "id"), F.lit(True), "idx")
             raise DataError(f"duplicate read ID {row['id']!r} in read {k} (record #{row['idx'] + 1})")
-        if duplicates in ("first", "last"):  # an extra record matches nothing: its number differs between the sides
-            own = own.withColumn("nth", F.when(F.col("nth") == 1, F.lit(1)).otherwise(F.col("nth") * 2 + k))
+        if not some:
+            own = own.withColumn("nth", F.lit(1).cast("bigint"))
+        else:
+            known = own.join(F.broadcast(names) if some <= FEW_NAMES else names, F.col("id") == F.col("_id"), "left").drop("_id")
+            if duplicates == "occurrence":
+                nth = F.row_number().over(Window.partitionBy("id").orderBy("idx")).cast("bigint")
+                repeated_ = known.where("stays is not null").withColumn("nth", nth)
+                own = known.where("stays is null").withColumn("nth", F.lit(1).cast("bigint")).union(repeated_)
+            else:  # an extra record matches nothing: its key differs from all others and between the sides
+                own = known.withColumn("nth", F.when(F.col("stays").isNull() | (F.col("stays") == F.col("idx")), F.lit(1)).otherwise(-2 * F.col("idx") - k).cast("bigint"))
         return own.select("id", "nth", F.col("idx").alias(f"i{k}"), *(F.col(c).alias(f"{c}{k}") for c in FIELDS))
 
     return side(r1, 1).join(side(r2, 2), ["id", "nth"], "full_outer").drop("nth")
@@ -71,13 +88,19 @@ def stacked(sources: list[DataFrame]) -> DataFrame:
 def repeated(rows: DataFrame) -> DataFrame:
     """(id, first_src, first_idx, src, idx): of each name seen more than once, where first and where again first.
 
-    rows: (src, idx, header). The two smallest places of a name are kept by an aggregate, whatever its count.
+    rows: (src, idx, header). One aggregate keeps the smallest place of a name and how often it occurs; names that occur
+    once go there. Only for the others, if there are any, the next place is looked up.
     """
-    place = F.struct("src", "idx")
+    place = F.shiftleft(F.col("src").cast("bigint"), 48) + F.col("idx")  # one number, so that the aggregate hashes
     ids = rows.select(base_id(F.col("header")).alias("id"), place.alias("at"))
-    lowest = ids.groupBy("id").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1").drop("n")
-    again = ids.join(lowest, "id").where("at > first").groupBy("id", "first").agg(F.min("at").alias("again"))
-    return again.select("id", F.col("first.src").alias("first_src"), F.col("first.idx").alias("first_idx"), F.col("again.src").alias("src"), F.col("again.idx").alias("idx"))
+    found = ids.groupBy("id").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last")).where("n > 1")
+    twice = found.where("n = 2").select("id", "first", F.col("last").alias("again"))
+    more = found.where("n > 2").select("id", "first")
+    if not more.isEmpty():
+        later = ids.join(more, "id").where("at > first").groupBy("id", "first").agg(F.min("at").alias("again"))
+        twice = twice.union(later)
+    src, idx = lambda c: F.shiftright(c, 48).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit((1 << 48) - 1))
+    return twice.select("id", src("first").alias("first_src"), idx("first").alias("first_idx"), src("again").alias("src"), idx("again").alias("idx"))
 
 
 def cat(r1: list[DataFrame], r2: list[DataFrame] | None = None, allow_duplicates: bool = False, names: list[str] | None = None) -> tuple[DataFrame, DataFrame | None]:

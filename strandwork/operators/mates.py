@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.functions.headers import base_id, mate_suffix, violation
-from strandwork.operators.checks import DataError, first
+from strandwork.operators.checks import DataError, first, numbered
 
 FIELDS = ("header", "seq", "plus", "qual")
 #: Records that tell the layout of a merged file.
 PROBE = 4096
+#: Why some layouts need a file.
+ONCE = "{}, but a pipe can only be read once; name a file, or pass --layout interleaved or by-suffix if the file has it"
+
+log = logging.getLogger("strandwork")
 
 
 def _side(df: DataFrame, side: int) -> DataFrame:
@@ -84,7 +90,9 @@ def hypotheses(df: DataFrame) -> DataFrame:
     return n.crossJoin(first_bad(near, "interleaved_fails")).crossJoin(first_bad(far, "concat_fails"))
 
 
-def layout_of(df: DataFrame) -> str:
+def layout_of(df: DataFrame, rereadable: bool = True) -> str:
+    """The layout that the first records show or, failing that, all of them, unless the input is one that callers want
+    read once only."""
     seen = probe(df).first()
     if not seen["records"]:
         raise DataError("input is empty, nothing to deinterleave")
@@ -92,6 +100,8 @@ def layout_of(df: DataFrame) -> str:
         return "interleaved"
     if seen["all_have_marker"]:
         return "by-suffix"
+    if not rereadable:
+        raise DataError(ONCE.format("the first records don't tell the layout, so all would have to be looked at first"))
     row = hypotheses(df).first()
     if row["n"] % 2:
         raise DataError(f"input has an odd number of records ({row['n']}); a merged paired-end file must have an even count")
@@ -111,9 +121,7 @@ def split(df: DataFrame, layout: str, n: int | None = None) -> tuple[DataFrame,
     if layout == "concat":
         half = (df.count() if n is None else n) // 2
         return df.where(F.col("idx") < half).select("idx", *FIELDS), df.where(F.col("idx") >= half).select((F.col("idx") - half).alias("idx"), *FIELDS)
-    from strandwork.operators.checks import dense
-
-    own = lambda mate: dense(df.where(mate_suffix(F.col("header")) == mate).select(F.col("idx").alias("_at"), *FIELDS), [F.col("_at")]).select("idx", *FIELDS)
+    own = lambda mate: numbered(df.where(mate_suffix(F.col("header")) == mate).select(F.col("idx").alias("_at"), *FIELDS), "_at", "idx").select("idx", *FIELDS)
     return own(1), own(2)
 
 
@@ -139,17 +147,22 @@ def _check_layout(df: DataFrame, layout: str, check: bool) -> None:
                 raise DataError(f"not an R1-then-R2 concatenation: record #{row['idx'] + 1} is R{row['mate']} but the {side} half started out as R{row['settled']}")
             if len(firsts) == 2 and firsts[True] == firsts[False]:
                 raise DataError(f"not an R1-then-R2 concatenation: both halves are R{firsts[True]}")
+        if len(firsts) == 2 and firsts[False] == 2 and firsts[True] == 1:
+            log.warning("the halves are swapped: the first holds R2 and the second R1, so out1 gets the R2 reads; --layout by-suffix would go by the headers")
     if layout == "by-suffix":
         if row := first(marked, F.col("mate").isNull(), "idx"):
             raise DataError(f"record #{row['idx'] + 1} carries no /1 or /2 mate marker in its header: {row['header']!r}.")
         counts = marked.agg(F.count_if(F.col("mate") == 1).alias("n1"), F.count_if(F.col("mate") == 2).alias("n2")).first()
-        if counts["n1"] != counts["n2"] and check:
+        if counts["n1"] != counts["n2"]:
             raise DataError(f"R1 and R2 ended up with different numbers of records ({counts['n1']} vs {counts['n2']})")
 
 
-def deinterleave(df: DataFrame, layout: str = "auto", check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """R1 and R2 of a merged file. Everything is checked before anything is returned."""
-    layout = layout_of(df) if layout == "auto" else layout
+def deinterleave(df: DataFrame, layout: str = "auto", check: bool = True, rereadable: bool = True) -> tuple[DataFrame, DataFrame]:
+    """R1 and R2 of a merged file. Everything is checked before anything is returned. Where the input isn't rereadable,
+    layouts that need its count first are refused."""
+    if layout == "concat" and not rereadable:
+        raise DataError(ONCE.format("concat needs the number of records first"))
+    layout = layout_of(df, rereadable) if layout == "auto" else layout
     _check_layout(df, layout, check)
     return split(df, layout)
 

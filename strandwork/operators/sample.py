@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from strandwork.functions.draws import draw, draw_bits, high_product, unsigned_less, wrapping
 from strandwork.operators.checks import DataError
 
+#: Rows of a sample up to which their numbers are sent to every task.
+BROADCAST_ROWS = 1_000_000
+
 
 def proportion(df: DataFrame, p: float, seed: int = 42, key: str = "idx") -> DataFrame:
     """Rows whose draw is at most p. A filter on the row's number alone: no shuffle, the same under any partitioning,
@@ -55,4 +58,5 @@ def reservoir(df: DataFrame, n: int, seed: int = 42, key: str = "idx") -> DataFr
 
 def exact(df: DataFrame, n: int, seed: int = 42, key: str = "idx") -> DataFrame:
     """Exactly n rows, all if there are fewer. Give both sides the same n and seed to keep mates together."""
-    return df.join(reservoir(df.select(key), n, seed, key), key, "left_semi")
+    held = reservoir(df.select(key), n, seed, key)  # at most n rows
+    return df.join(F.broadcast(held) if n <= BROADCAST_ROWS else held, key, "left_semi")

@@ -182,9 +182,9 @@ def interleave(spark, sf_dir):
 def interleave_unchecked(spark, sf_dir):
     """Mates that don't belong together, of equal number."""
     one = side(spark, sf_dir, 1)
-    two = side(spark, sf_dir, 2).where(F.col("idx") < one.count())
-    two = two.where(F.col("idx") < one.count())
-    return mates.interleaved(one, two).select("idx", "header", "seq") if two.count() else one.select("idx", "header", "seq")
+    n = F.broadcast(one.agg(F.count("*").alias("_n")))  # one row
+    two = side(spark, sf_dir, 2).crossJoin(n).where("idx < _n").drop("_n")
+    return mates.interleaved(one, two).select("idx", "header", "seq")
 
 
 def _split_query(name: str, layout: str, which: int, sql: str, more: str):
@@ -299,16 +299,16 @@ def rename_gff(spark, sf_dir):
 
 # --- rescue
 
-CUT = 777
-
 
 def _damaged(spark, sf_dir) -> DataFrame:
-    """Records of which those whose number ends in CUT, past the first thousand, have a short quality line."""
+    """Records of which each hundredth of the last tenth has a short quality line, wherever the table ends."""
     rows = everyone(spark, sf_dir, 1)
-    return rows.withColumn("qual", F.when(F.col("idx") % 1000 == CUT, F.lit("III")).otherwise(F.col("qual")))
+    n = F.broadcast(rows.agg(F.count("*").alias("_n")))  # one row
+    spoilt = (F.col("idx") * 10 >= F.col("_n") * 9) & (F.col("idx") % 100 == 77)
+    return rows.crossJoin(n).withColumn("qual", F.when(spoilt, F.lit("III")).otherwise(F.col("qual"))).drop("_n")
 
 
-_STOP = f"(SELECT coalesce(min(idx), 1152921504606846976) FROM a1 WHERE idx % 1000 = {CUT})"
+_STOP = "(SELECT coalesce(min(idx), 1152921504606846976) FROM a1 WHERE idx * 10 >= (SELECT count(*) FROM a1) * 9 AND idx % 100 = 77)"
 
 
 @query(mates_sql(f"SELECT idx, header, seq, qual FROM a1 WHERE idx < {_STOP}"))
@@ -321,9 +321,16 @@ def rescue_outcome(spark, sf_dir):
     return mates.rescue(_damaged(spark, sf_dir))[1]
 
 
-@query(mates_sql(f"SELECT a1.idx, a1.header AS header1, a2.header AS header2 FROM a1 JOIN a2 USING (idx) WHERE idx < least({_STOP}, 501)"))
+_FOREIGN = "(SELECT coalesce(min(idx), 1152921504606846976) FROM a1 WHERE idx * 5 >= (SELECT count(*) FROM a1) * 4 AND idx % 50 = 1)"
+
+
+@query(mates_sql(f"SELECT a1.idx, a1.header AS header1, a2.header AS header2 FROM a1 JOIN a2 USING (idx) WHERE idx < least({_STOP}, {_FOREIGN})"))
 def rescue_paired(spark, sf_dir):
-    two = everyone(spark, sf_dir, 2).withColumn("header", F.when(F.col("idx") == 501, F.lit("@other/2")).otherwise(F.col("header")))
+    """Foreign mates from four fifths of the table on, before the first damaged record."""
+    two = everyone(spark, sf_dir, 2)
+    n = F.broadcast(two.agg(F.count("*").alias("_n")))  # one row
+    foreign = (F.col("idx") * 5 >= F.col("_n") * 4) & (F.col("idx") % 50 == 1)
+    two = two.crossJoin(n).withColumn("header", F.when(foreign, F.lit("@other/2")).otherwise(F.col("header"))).drop("_n")
     return mates.rescue_paired(_damaged(spark, sf_dir), two)[0].select("idx", "header1", "header2")
 
 
@@ -379,6 +386,12 @@ def mate_suffix(spark, sf_dir):
     return _headers(spark, sf_dir).select("event_id", headers.mate_suffix(F.col("header")).alias("mate"))
 
 
+@query(mates_sql("SELECT idx, 2 * strlen(header) + strlen(seq) + strlen(plus) + strlen(qual) + 128 AS bytes FROM r1"))
+def record_footprint(spark, sf_dir):
+    rows = side(spark, sf_dir, 1)
+    return rows.select("idx", headers.footprint(*(F.col(c) for c in RECORD)).cast("bigint").alias("bytes"))
+
+
 @query(
     f"""SELECT event_id, (list_reduce(list_prepend({draws.FNV_BASIS}::UBIGINT, list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i::INT, 1))::UBIGINT)),
  lambda h, o: (xor(h, o)::UHUGEINT * {draws.FNV_PRIME}::UHUGEINT % {_U})::UBIGINT) % 256)::BIGINT AS part FROM (SELECT event_id, 'RD' || event_id AS name FROM events)"""

@@ -46,6 +46,7 @@ def _text(path: str) -> Iterator[str]:
 
 
 def _number(text: str) -> int | None:
+    """A whole number of 64 bits without a sign; the schema holds it as decimal(20, 0)."""
     return int(text) if re.fullmatch(r"\+?[0-9]+", text, re.ASCII) and int(text) < 1 << 64 else None
 
 

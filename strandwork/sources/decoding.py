@@ -57,3 +57,21 @@ def lines(path: str) -> Iterator[tuple[bytes, bool]]:
         raise
     if held:
         yield held, False
+
+
+def lines_within(path: str, begin: int, end: int, number: int) -> Iterator:
+    """Of a plain file first (number of the first line that starts at begin or later, [where it starts]), then the lines
+    from there on as lines() has them, with the place kept up to date. number: newlines before begin. Reading goes on
+    past end as far as it is asked to."""
+    with open(path, "rb") as file:
+        at = [begin]
+        if begin:
+            file.seek(begin - 1)
+            if file.read(1) != b"\n":
+                skipped = file.readline()
+                at[0] += len(skipped)
+                number += skipped.endswith(b"\n")
+        yield number, at
+        for line in file:
+            at[0] += len(line)
+            yield line.removesuffix(b"\n"), line.endswith(b"\n")

@@ -1,8 +1,10 @@
 """One ordered file out of a frame: plain, gzip in members, or BGZF.
 
 Each task of the sorted frame writes its lines as members of its own beside the target; a gzip file is the sequence of
-its members, so the file is the parts in their order. Parts carry the task's attempt in their name, so a repeated task
-does no harm. The folder of the target has to be shared.
+its members, so the file is the parts in their order. Once all sizes are known, tasks copy the parts to their places in
+the file, each by itself, so nothing but names and sizes passes through the driver. Parts carry the task's attempt in
+their name, and a part always goes to the same place, so a repeated task does no harm. The folder of the target has to be
+shared.
 """
 
 from __future__ import annotations
@@ -89,17 +91,33 @@ def write(df: DataFrame, path: str, order: list[str], text: Column | None = None
         with open(f"{folder}/{name}", "wb") as out:
             for member in _members(data(), compression):
                 out.write(member)
-        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([name]), pa.array([n], pa.int64())], names=["part", "name", "n"])
+            size = out.tell()
+        columns = [pa.array([task.partitionId()], pa.int64()), pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "name", "n", "size"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open(f"{folder}/{name}", "rb") as one, open(path + ".tmp", "r+b") as out:
+                    out.seek(at)
+                    shutil.copyfileobj(one, out, BLOCK)
+            yield batch.select([1])
 
     try:
-        done = {r["part"]: (r["name"], r["n"]) for r in ranged.mapInArrow(put, "part bigint, name string, n bigint").collect()}  # one row a part
+        done = {r["part"]: r for r in ranged.mapInArrow(put, "part bigint, name string, n bigint, size bigint").collect()}  # one row a part
+        places, size = [], 0
+        for part in sorted(done):
+            places.append((done[part]["name"], size))
+            size += done[part]["size"]
         with open(path + ".tmp", "wb") as out:
-            for part in sorted(done):
-                with open(f"{folder}/{done[part][0]}", "rb") as one:
-                    shutil.copyfileobj(one, out)
+            out.truncate(size)
             if compression == "bgzf":
+                out.seek(size)
                 out.write(BGZF_END)
+        if places:
+            spark = df.sparkSession
+            spark.createDataFrame(places, "name string, at bigint").repartition(len(places)).mapInArrow(place, "at bigint").collect()
         os.replace(path + ".tmp", path)
     finally:
         shutil.rmtree(folder, ignore_errors=True)
-    return sum(n for _, n in done.values())
+    return sum(r["n"] for r in done.values())

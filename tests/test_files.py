@@ -1,13 +1,16 @@
 import gzip
+import io
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandwork import cli
-from strandwork.sources import contig_files, sinks
+from strandwork.sources import contig_files, readers, sinks
 from strandwork.sources.decoding import Truncated, lines
-from strandwork.sources.readers import fastq_records, read
+from strandwork.sources.readers import _pieces, fastq_records, read
+from strandwork.sources.readers import fastq as read_fastq
 
 NAMES = [("1", 2000), ("2", 1500), ("MT", 300)]
 
@@ -103,11 +106,56 @@ def test_all_kinds_of_contig_files_agree(spark, tmp_path):
         contig_files.kind_of("mystery.txt")
 
 
-def test_sizes_of_memory():
-    assert [cli.parse_size(x) for x in ("1024", "2K", "3m", "1G", " 4G ")] == [1024, 2048, 3 << 20, 1 << 30, 4 << 30]
-    for bad in ("", " ", "G", "-1", "1.5G", "2GB", "lots", "0"):
-        with pytest.raises(ValueError):
-            cli.parse_size(bad)
+@pytest.mark.parametrize("n", [1, 7, 640, 123_456])
+@pytest.mark.parametrize("power,letters", list(enumerate(["", "kK", "mM", "gG", "tT"])))
+def test_sizes_scale_by_their_letter(n, power, letters):
+    for letter in letters or [""]:
+        assert cli.parse_size(f"{n}{letter}") == n * 1024**power
+
+
+@pytest.mark.parametrize("text", ["M", "12 MiB", "0x10", "5e3", "00", "-8k", "\u0663", str(1 << 64), f"{1 << 54}K"])
+def test_sizes_that_are_none(text):
+    with pytest.raises(ValueError):
+        cli.parse_size(text)
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 1000])
+@pytest.mark.parametrize("text", [fastq(60), fastq(60).replace("\n", "\r\n"), fastq(60)[:-9], fastq(30) + "R\n" + fastq(5), "@a\nACGT\n+\n@@@@\n" * 40, "\n" * 9])
+def test_pieces_of_a_plain_file_are_the_file(spark, tmp_path, text, piece):
+    """Up to the first bad record, with which the file read in turn ends."""
+    path = tmp_path / "x.fq"
+    path.write_bytes(text.encode())
+    want = list(fastq_records(str(path)))
+    size, cuts, number = len(text), [], 0
+    for begin in range(0, size, piece):
+        cuts.append((begin, min(begin + piece, size), number))
+        number += text[begin : begin + piece].count("\n")
+    batches = [pa.RecordBatch.from_arrays([pa.array([str(path)]), *(pa.array([x]) for x in cut)], names=["path", "begin", "end", "line"]) for cut in cuts]
+    got = [tuple(r.values()) for batch in _pieces(iter(batches)) for r in batch.to_pylist()]
+    stop = next((k for k, r in enumerate(got) if r[-1] is not None), len(got) - 1)
+    assert got[: stop + 1] == want
+
+
+def test_a_file_in_pieces(spark, tmp_path):
+    path = tmp_path / "x.fq"
+    path.write_text(fastq(3000))
+    want = [r["header"] for r in read(spark, "fastq", str(path)).orderBy("idx").collect()]
+    got = read_fastq(spark, str(path), 5000)
+    assert got.rdd.getNumPartitions() > 3
+    assert [(r["idx"], r["header"]) for r in got.orderBy("idx").collect()] == list(enumerate(want))
+
+
+def test_batches_are_sized_by_characters(tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "BATCH_CHARS", 1000)
+    path = tmp_path / "x.fq"
+    path.write_text(f"@a\n{'A' * 700}\n+\n{'I' * 700}\n" * 5)
+    assert [b.num_rows for b in readers._batches(fastq_records(str(path)), readers.FASTQ)] == [1] * 5
+
+
+def test_lengths_of_64_bits(spark, tmp_path):
+    path = tmp_path / "r.sizes"
+    path.write_text(f"a\t{(1 << 64) - 1}\nb\t{1 << 64}\nc\t+5\n")
+    assert [(r["name"], r["length"]) for r in read(spark, "contigs", str(path)).orderBy("ord").collect()] == [("a", (1 << 64) - 1), ("b", None), ("c", 5)]
 
 
 def test_commands(spark, tmp_path, capfd):
@@ -130,3 +178,86 @@ def test_commands(spark, tmp_path, capfd):
     paths = headers(tmp_path)
     assert cli.main(["check", "contigs", *paths]) == 0
     assert "All files agree" in capfd.readouterr().out
+
+
+def piped(monkeypatch, capfdbinary, argv, data=b""):
+    """Exit status, stdout and stderr of a command that reads data."""
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(data)))
+    capfdbinary.readouterr()
+    status = cli.main(argv)
+    out, err = capfdbinary.readouterr()
+    return status, out, err.decode()
+
+
+def test_pipes(spark, tmp_path, monkeypatch, capfdbinary):
+    run = lambda *argv, data=b"": piped(monkeypatch, capfdbinary, list(argv), data)
+    names, out = tmp_path / "names", str(tmp_path / "out")
+    names.write_text("1 chr1\n")
+    fasta = b">chr1 x\nACGT\n"
+    assert run("fastx", "rename", "-", "-n", str(names), data=fasta)[:2] == (0, b">1\nACGT\n")
+    assert run("gff", "rename", "-", "-n", str(names), "--chunk-lines", "5", data=b"# c\nchr1\tx\n")[:2] == (0, b"# c\n1\tx\n")
+    status, packed, _ = run("fastx", "rename", "-", "-n", str(names), "-z", data=gzip.compress(fasta))
+    assert status == 0 and gzip.decompress(packed) == b">1\nACGT\n"
+    status, packed, _ = run("-b", "fastx", "rename", "-", "-n", str(names), data=fasta)
+    assert status == 0 and packed.endswith(sinks.BGZF_END)
+    one = fastq(6).encode()
+    assert run("fastx", "sample", "-i", "-", "-p", "1", data=one)[:2] == (0, one)
+    assert run("fastx", "rescue", "-i", "-", data=one[:-3])[:2] == (3, fastq(5).encode())
+    for argv, said in [
+        (["fastx", "rename", "-", "-n", "-", "-o", out], "only one stdin/stdout"),
+        (["fastx", "sample", "-i", "a", "-I", "b", "-o", "-", "-O", "-", "-p", "0.5"], "only one stdin/stdout"),
+        (["fastx", "rescue", "-i", "-", "-I", "-", "-O", out], "only one stdin/stdout"),
+        (["fastx", "deinterleave", "-i", "a", "-O", "-"], "only one stdin/stdout"),
+        (["fastx", "cat", "--r1", "-", "--r2", "-", "-o", out, "-O", out], "only one stdin/stdout"),
+        (["fastx", "deinterleave", "-i", "-", "--layout", "concat", "-O", out], "a pipe can only be read once"),
+        (["fastx", "rename", str(tmp_path / "none"), "-n", str(names)], "failed to open input file"),
+    ]:
+        status, _, err = run(*argv, data=one)
+        assert status == 1 and said in err, argv
+    assert run("fastx", "deinterleave", "-i", "-", "-O", out, data=one.replace(b"/1", b""))[0] == 1
+    with pytest.raises(SystemExit):
+        cli.main(["fastx", "sample", "-i", "a", "-p", "1", "--chunk-records", "0"])
+    with pytest.raises(SystemExit) as stopped:
+        cli.main(["fastx", "--version"])
+    assert stopped.value.code == 0
+
+
+def test_a_reader_that_stops_early_is_no_failure(spark, tmp_path, monkeypatch):
+    class Closed:
+        def write(self, data):
+            raise BrokenPipeError
+
+        flush = close = lambda self: None
+
+    path = tmp_path / "a.fa"
+    path.write_text(">chr1\nACGT\n")
+    (tmp_path / "names").write_text("1 chr1\n")
+    monkeypatch.setattr("sys.stdout", type("Out", (), {"buffer": Closed(), "isatty": lambda self: False})())
+    assert cli.main(["fastx", "rename", str(path), "-n", str(tmp_path / "names")]) == 0
+
+
+def test_pair_beyond_its_memory(spark, tmp_path, capfd):
+    one, two, out = tmp_path / "1.fq", tmp_path / "2.fq", [str(tmp_path / f"o{k}") for k in range(4)]
+    one.write_text(fastq(50))
+    two.write_text("".join(f"@R{i}/2\nACGT\n+\nIIII\n" for i in reversed(range(10, 60))))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    args = ["-i", str(one), "-I", str(two), "-o", out[0], "-O", out[1], "-u", out[2], "-U", out[3]]
+    assert cli.main(["fastx", "pair", *args, "--max-memory", "1K", "--partitions", "3", "--temp-dir", str(tmp_path), "--chunk-records", "10"]) == 0
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    heads = [[x.split("/")[0] for x in open(p).read().splitlines()[::4]] for p in out]
+    assert heads[0] == heads[1] and sorted(heads[0]) == sorted(f"@R{i}" for i in range(10, 50))
+    assert sorted(heads[2]) == sorted(f"@R{i}" for i in range(10)) and sorted(heads[3]) == sorted(f"@R{i}" for i in range(50, 60))
+
+
+def test_report_of_contigs(spark, tmp_path, capfd):
+    ref, other, bed = tmp_path / "ref.fa.fai", tmp_path / "o.sizes", tmp_path / "r.bed"
+    ref.write_text("".join(f"c{i}\t{i + 1}\n" for i in range(40)))
+    other.write_text("".join(f"chrc{i}\t{i + 1}\n" for i in range(30)) + "".join(f"c{i}\t99\n" for i in range(30, 40)))
+    bed.write_text("c0\t0\t1\n")
+    assert cli.main(["check", "contigs", str(ref), str(other), str(bed)]) == 1
+    out, err = capfd.readouterr()
+    lines_ = out.splitlines()
+    assert lines_[0].split() == ["file", "kind", "contigs", "lengths"] and lines_[1].split() == [str(ref), "sizes", "40", "yes", "(reference)"]
+    assert lines_[2].endswith("yes") and lines_[3].split()[1:] == ["BED", "1", "no"]
+    assert out.count(" -- the reference calls it ") == 30 and out.count("99 here") == 10 and 'chrc7 -- the reference calls it "c7"' in out
+    assert "does not mention 39" in out and "would change results silently" in err

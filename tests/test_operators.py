@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strandwork.operators import contigs, join, mates, rename
-from strandwork.operators.checks import DataError, dense
+from strandwork.operators import checks, contigs, join, mates, rename
+from strandwork.operators.checks import DataError, dense, numbered
 
 RECORD = "idx bigint, header string, seq string, plus string, qual string"
 
@@ -44,6 +44,7 @@ def test_deinterleave(spark, headers, layout, one, two):
         (["a/2", "b/1", "c/1", "d/2"], "concat", "not an R1-then-R2 concatenation"),
         (["a/1", "b/1", "c/1", "d/1"], "concat", "both halves are"),
         (["a/1", "b 1:N:0:AT", "c/2"], "by-suffix", "record #2 carries no /1 or /2"),
+        (["a/1", "b/1", "c/2"], "by-suffix", "different numbers of records"),
         ([], "auto", "input is empty"),
         (["a", "b", "c", "d"], "auto", "could not determine"),
     ],
@@ -132,3 +133,46 @@ def test_fasta_lengths_and_dense(spark):
     df = spark.range(100).select((F.col("id") * 7 % 100).alias("v"))
     assert [r["idx"] for r in dense(df, [F.col("v")]).orderBy("v").collect()] == list(range(100))
     assert dense(df.limit(0), [F.col("v")]).count() == 0
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("parts", [4, 61])
+def test_numbers_have_no_gaps_in_a_million_rows(spark, adaptive, parts):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003 * 3).alias("v"))
+        for got in (dense(df, [F.col("v")]), numbered(df, "v", "idx")):
+            row = got.agg(F.count("*").alias("n"), F.count_distinct("idx").alias("kinds"), F.min("idx").alias("low"), F.max("idx").alias("high")).first()
+            assert tuple(row) == (1_000_000, 1_000_000, 0, 999_999)
+            assert got.where("idx < 1000 or idx >= 999000").orderBy("idx").select("v").collect() == got.where("idx < 1000 or idx >= 999000").orderBy("v").select("v").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_sequences_over_spans_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(checks, "SPAN", 3)
+    text = ["x", ">a", *["ACG"] * 10, ">b", ">c", *["T"] * 5]
+    assert [tuple(r) for r in contigs.fasta_lengths(lines(spark, text)).orderBy("ord").collect()] == [(0, "a", 30), (1, "b", 0), (2, "c", 5)]
+    r1, r2 = mates.split(reads(spark, *[f"x{i}/{1 + i % 3 % 2}" for i in range(20)]), "by-suffix")
+    assert names(r1) == [f"x{i}/1" for i in range(20) if not i % 3 % 2] and names(r2) == [f"x{i}/2" for i in range(20) if i % 3 % 2]
+    assert [r["idx"] for r in r1.orderBy("idx").collect()] == list(range(r1.count()))
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_a_name_that_repeats(spark, monkeypatch, few):
+    monkeypatch.setattr(join, "FEW_NAMES", few)
+    one, two = reads(spark, *["a/1"] * 30, "b/1", "b/1"), reads(spark, "b/2", *["a/2"] * 5)
+    both = join.matched(one, two)
+    assert {(r["id"], r["i1"], r["i2"]) for r in both.where("i1 is not null and i2 is not null").collect()} == {("a", 0, 1), ("b", 30, 0)}
+    assert both.count() == 32 + 6 - 2
+    found = join.repeated(join.stacked([one, two])).collect()
+    assert {tuple(r) for r in found} == {("a", 0, 0, 0, 1), ("b", 0, 30, 0, 31)}
+    assert {(r["i1"], r["i2"]) for r in join.pair(one, two, "occurrence")[0].where("id = 'a'").collect()} == {(k, k + 1) for k in range(5)}
+
+
+def test_swapped_halves_are_told(spark, caplog):
+    mates.deinterleave(reads(spark, "a/2", "b/2", "a/1", "b/1"), "concat")
+    assert "swapped" in caplog.text
