@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwork.scratch import drop, shared_folder, written  # noqa: F401
+
 #: Words are maximal runs of anything but these characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,36 +20,9 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where none is named, as in tests, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="strandwork-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, and its path. This cuts the lineage: a lost executor costs no more
-    than its running tasks. The table goes with the session, or earlier by drop()."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fs, place = _filesystem(spark, path)
-    fs.deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    for path in paths:
-        fs, place = _filesystem(spark, path)
-        fs.delete(place, True)
+def apart(df: DataFrame) -> DataFrame:
+    """df with its columns named _c0, _c1 and so on, so that names made on the way clash with none of them."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm.common import components, drop, written
+from strandwork.llm.common import apart, components, drop, written
 from strandwork.llm.weighing import blocks
 
 #: A shingle in one of so many documents, and in so many at least, counts as common.
@@ -395,7 +395,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, doc_id
 def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, whole, that stand for their component: of its rows one with the smallest id, null ids last, and
     among texts of that id the one with the smallest hash. Of texts without words all stay but repeated rows, of which one
-    does. An id may come with several texts, and null ids are told apart by their texts."""
+    does. An id may come with several texts, and null ids are told apart by their texts. Columns keep their names and
+    values whatever they are called."""
+    names, docs = docs.columns, apart(docs)
+    doc_id, text = (docs.columns[names.index(c)] for c in (doc_id, text))
     tied, paths = _tied(docs, size, percent, doc_id, text)
     rows = tied.groupBy("tie", F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash").agg(F.count("*").alias("rows"))
     first = rows.where("tie is not null").groupBy("tie").agg(F.min(F.struct("nameless", "doc_id", "hash", "rows")).alias("first")).select("first.*")
@@ -406,4 +409,4 @@ def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str =
     single = kept.where("_rows = 1").drop("_stays", "_hash", "_rows")
     if not stay.where("_rows > 1").isEmpty():
         single = single.union(kept.where("_rows > 1").dropDuplicates(["_stays", "_hash"]).drop("_stays", "_hash", "_rows"))
-    return single
+    return single.toDF(*names)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strandwork.llm.common import WORD, drop, written
+from strandwork.llm.common import WORD, apart, drop, written
 
 #: Rows, about, whose rounding errors are carried on together.
 GROUP_ROWS = 4096
@@ -103,9 +103,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, do
 
     Null texts have size 0. A null source is a source of its own, the last. Repeated rows are documents of their own;
     ties go by a hash of the id, so runs agree. Documents without words keep one copy, which takes nothing. An empty
-    table stays empty. The names size, source_size, target and copies are replaced if docs has them.
+    table stays empty. The names size, source_size, target and copies are replaced if docs has them; other columns keep
+    their names and values whatever they are called.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
+    names = docs.columns
+    inner = apart(docs)
+    doc_id, source, text = (inner.columns[names.index(c)] for c in (doc_id, source, text))
+    mixed = _mix(inner, weights, most, doc_id, source, text, carry_text)
+    back = dict(zip(inner.columns, names))
+    return mixed.toDF(*[back.get(c, c) for c in mixed.columns])
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], most: int, doc_id: str, source: str, text: str, carry_text: bool) -> DataFrame:
     sized = docs.withColumn("size", word_count(text))
     small, small_path = written(sized.groupBy(F.col(source).alias("source"), "size").agg(F.count("*").alias("n")))
     # Groups by the source's own rows; those without words owe nothing and are dealt out apart.
@@ -141,7 +151,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, do
     return rated.groupBy(source, "_group").applyInPandas(copy, schema)
 
 
-def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    columns = docs.columns
-    return mix(docs, weights, most).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of docs, whole and with all their columns as they were, each as often as the mix takes it. Nulls, repeated
+    rows and empty tables are treated as mix() says."""
+    inner = apart(docs)
+    own = (inner.columns[docs.columns.index(c)] for c in (doc_id, source, text))
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return _mix(inner, weights, most, *own, True).where("copies > 0").withColumn("_copy", copies).select(*inner.columns).toDF(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandwork.llm.common import drop, written
+from strandwork.llm.common import apart, drop, written
 
 #: Longest context in characters; one url in FOLDS calibrates; histogram steps per unit of score, and its ends.
 ORDER, FOLDS, STEPS, END = 4, 5, 50, 10
@@ -102,6 +102,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
     score are replaced if pages has them.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "score")
+    names, pages = pages.columns, apart(pages)
+    url = pages.columns[names.index(url)]
     known = pages.withColumn("_url", F.coalesce(F.col(url), F.lit("")))
     parts = known.select(F.col("_url").alias("url")).distinct().withColumns({"h": host_of(F.col("url")), "p": path_of(F.col("url"))})
     urls, _ = written(parts.select("url", fitting_rule(F.col("h"), F.col("p"), rules)["verdict"].alias("verdict")))
@@ -125,4 +127,4 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
     free = scores.where("verdict is null").select(F.col("url").alias("_url"), "score", judged.alias("_judged"))
     out = known.join(free, "_url", "left").withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})
     fit = fitting_rule(F.col("host"), F.col("path"), rules)
-    return out.withColumn("rule", fit["rule"]).withColumn("verdict", F.coalesce(fit["verdict"], F.col("_judged"))).drop("_url", "_judged")
+    return out.withColumn("rule", fit["rule"]).withColumn("verdict", F.coalesce(fit["verdict"], F.col("_judged"))).select(*pages.columns, "host", "path", "rule", "verdict", "score").toDF(*names, "host", "path", "rule", "verdict", "score")
