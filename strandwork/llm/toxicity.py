@@ -5,24 +5,29 @@ of the stretch it spans in either word, and is normalised; the word's two ends c
 left out or set apart lower a word's likeness to an insult a little, where exact matching would lose it. A sentence is as
 toxic as its most toxic word, its witness; a text is as toxic as its most toxic sentence.
 
-Training: a bounded sample of labelled texts. A sentence of a toxic text is toxic by a witness: a word with a stretch of
-characters that toxic texts hold far oftener than clean ones. All sentences of clean texts are clean; the clean sentences' witnesses are the words that the current machine
-finds most toxic, mined in rounds. Landmarks are spread over both; words are mapped to K_mm ** -1/2 @ k(word, landmarks)
-and a linear machine with squared hinge loss is fitted there by Newton steps. Its margin is turned into a chance by a
-logistic fit on labelled texts of the sample that took no part in it.
+Training: a bounded sample of labelled texts, split into sentences. A word speaks against a text if the toxic texts of the
+sample hold it far oftener than the clean ones, in whatever language. The word that speaks most is the witness of a toxic
+sentence; toxic texts' sentences without one teach nothing. All sentences of clean texts are clean; the witness of one is
+the word that the current machine finds most toxic, and each round adds those that it is most wrong about. Landmarks are
+spread over both; words are mapped to K_mm ** -1/2 @ k(word, landmarks) and a linear machine with squared hinge loss,
+weighted by numbers of sentences, is fitted there by Newton steps. A text's margin is the mean of its WITNESSES highest
+ones, against the number of its distinct words, as long texts hold more words by chance; both weights and the chance come
+from a logistic fit on labelled texts of the sample that took no part in the rest.
 
 Scoring: the machine is linear in the landmarks' kernels, and a kernel is linear in the word's weighted subsequences, so
-all landmarks together are one table with a number per subsequence of three characters, of fixed size. A task scores each
-distinct word once with it.
+all landmarks together are one table with a number per subsequence of three characters, of fixed size. A Python worker
+scores each distinct word once with it, over all its tasks, as long as its memory of MEMO words lasts.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 import unicodedata
+import uuid
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,26 +39,38 @@ from strandwork.llm.weighing import blocks
 
 #: Weight of each character that a subsequence spans; characters of a word looked at together (longer ones in windows).
 DECAY, WIDTH = 0.6, 24
-#: Labelled texts of each class that the classifier is fitted on; words of the clean ones, the most frequent first.
-SAMPLE, CLEAN_WORDS = 4000, 200_000
-#: Landmarks; rounds of mining; words that a round adds; strength of the penalty.
-LANDMARKS, ROUNDS, MINED, PENALTY = 160, 4, 400, 1e-3
-#: Characters of a stretch of a word that speaks against a text; how many times as frequent it is in toxic texts as in
-#: clean ones at least; its log-likelihood ratio at least.
-STRETCH, SPEAKING_RATIO, SPEAKING_LEAST = 5, 10.0, 25.0
+#: Labelled texts of each class that the classifier is fitted on.
+SAMPLE = 4000
+#: Landmarks; rounds of mining; clean words that a round adds; strength of the penalty.
+LANDMARKS, ROUNDS, MINED, PENALTY = 400, 5, 400, 1e-3
+#: A word that speaks against a text: toxic texts that hold it, log of how many times as frequent it is in toxic texts as in
+#: clean ones, and log-likelihood ratio, at least.
+SPEAKING_TEXTS, SPEAKING_RATIO, SPEAKING_LEAST = 3, 1.5, 8.0
+#: Words that a text's margin is the mean of.
+WITNESSES = 3
 #: Margins under this aren't told apart.
 FLOOR = -0.7
-MEMO = 500_000
+#: Texts whose words are scored together; words that a worker remembers the margins of.
+TOGETHER, MEMO = 1024, 500_000
 
 _OTHER, _BEGIN, _END = 27, 28, 29
+_SPACES = b" \t\n\v\f\r"
+_FOLD = bytes(b if 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 if b in _SPACES else 123 for b in range(256))
+_WORD = re.compile(rb"[a-z](?:[a-z{]*[a-z])?")
+_SINGLES = re.compile(rb"(?<![^ {])[a-z](?:[ {]+[a-z]){2,}(?![^ {])")
+_SENTENCE_END = re.compile(rb"[.!?]+(?=\s|$)|\n+")
 _CODES = bytes(b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else _OTHER for b in range(256))
 
 
+def _plain(text: bytes) -> bytes:
+    """ASCII text without accents."""
+    if text.isascii():
+        return text
+    return unicodedata.normalize("NFKD", text.decode("utf-8", "replace").lower().replace("ß", "ss")).encode("ascii", "ignore")
+
+
 def _folded(word: bytes) -> bytes:
-    if not word.isascii():
-        text = word.decode("utf-8", "replace").lower().replace("ß", "ss")
-        word = unicodedata.normalize("NFKD", text).encode("ascii", "ignore")
-    return word.translate(_CODES).strip(b"\x1b")
+    return _plain(word).translate(_CODES).strip(b"\x1b")
 
 
 def variants(word: bytes) -> list[bytes]:
@@ -70,14 +87,13 @@ def variants(word: bytes) -> list[bytes]:
     return [w for w in out if len(w) > 1]
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a text, and what runs of three and more single letters spell."""
-    words = text.split()
-    single = [len(w) == 1 and w.isalpha() for w in words]
-    if sum(single) >= 3:
-        for is_single, run in itertools.groupby(zip(single, words), key=lambda x: x[0]):
-            if is_single and len(spelt := b"".join(w for _, w in run)) >= 3:
-                words.append(spelt)
+def words_of(text: bytes) -> set[bytes]:
+    """Distinct words of a text, in small letters without accents and with { for anything else inside, and what runs of
+    three and more single letters spell."""
+    folded = _plain(text).translate(_FOLD)
+    words = set(_WORD.findall(folded))
+    for run in _SINGLES.findall(folded):
+        words.add(run.translate(None, b" {"))
     return words
 
 
@@ -112,6 +128,12 @@ def _self_kernel(codes: np.ndarray) -> np.ndarray:
     return (np.where(same, DECAY * DECAY * last[:-1, :-1], 0)).sum(axis=(0, 1), dtype=np.float64)
 
 
+def _places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each choice of three of n places, and the weight of the subsequence there."""
+    i, j, k = np.array(list(itertools.combinations(range(n), 3))).T
+    return i, j, k, (DECAY ** (k - i + 1)).astype(np.float32)
+
+
 def _subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
     """(number of the subsequence, its weight) for each choice of three places."""
     for i, j, k in itertools.combinations(range(len(codes)), 3):
@@ -146,6 +168,9 @@ class Machine:
     bias: float
     slope: float = 1.0  # of the logistic fit
     shift: float = 0.0
+    per_log: float = 0.0  # what the logarithm of the number of distinct words adds to a text's margin,
+    most: float = 0.0  # up to this logarithm
+    name: str = ""  # of its own
 
     def margins(self, words: list[bytes]) -> np.ndarray:
         """At least FLOOR. A word's kernel with itself is no less than what its subsequences alone give; where even that
@@ -153,14 +178,16 @@ class Machine:
         out = np.full(len(words), FLOOR)
         table = self.table.astype(np.float32)
         for places, codes in _grouped(words):
-            own = np.zeros(codes.shape[1], np.float32)
-            least = 0.0
-            for at, weight in _subsequences(codes):
-                own += np.float32(weight) * table[at]
-                least += weight * weight
-            likely = np.flatnonzero(np.maximum(own, 0) / np.sqrt(least) + self.bias > FLOOR)
-            if len(likely):
-                out[places[likely]] = np.maximum(FLOOR, own[likely] / np.sqrt(_self_kernel(codes[:, likely])) + self.bias)
+            i, j, k, weight = _places(len(codes))
+            step = max(1, 1_000_000 // len(weight))
+            least = np.sqrt((weight * weight).sum())
+            for at in range(0, len(places), step):
+                part = codes[:, at : at + step]
+                own = weight @ table[(part[i] << 10) | (part[j] << 5) | part[k]]
+                likely = np.flatnonzero(np.maximum(own, 0) / least + self.bias > FLOOR)
+                if len(likely):
+                    margin = own[likely] / np.sqrt(_self_kernel(part[:, likely])) + self.bias
+                    out[places[at : at + step][likely]] = np.maximum(FLOOR, margin)
         return out
 
     def chance(self, margin: np.ndarray) -> np.ndarray:
@@ -197,120 +224,143 @@ def _spread(kernel_to: np.ndarray, n: int) -> list[int]:
     return chosen
 
 
-def fit(toxic: dict[bytes, float], clean: list[bytes]) -> Machine:
-    """toxic: witnesses of toxic sentences and how often each is one; clean: words of clean sentences."""
+def fit(toxic: dict[bytes, float], clean: dict[bytes, float], mine: Callable[[Machine], dict[bytes, float]]) -> Machine:
+    """toxic: witnesses of toxic sentences and of how many; clean: some words of clean sentences to begin with; mine: the
+    witnesses of clean sentences that a machine is most wrong about, and of how many."""
     if not toxic or not clean:
-        return Machine(np.zeros(1 << 15), FLOOR)
-    positive = sorted(toxic, key=lambda w: (-toxic[w], w))[: 4 * MINED]
-    rng = np.random.default_rng(5)
-    negative = [clean[i] for i in rng.permutation(len(clean))[: 2 * MINED]]
+        return Machine(np.zeros(1 << 15), FLOOR, name=uuid.uuid4().hex)
+    positive = sorted(toxic, key=lambda w: (-toxic[w], w))
     for _ in range(ROUNDS):
-        half = min(len(positive), 2 * LANDMARKS)
-        tables = tables_of(positive[:half] + negative[: 2 * LANDMARKS])
+        negative = list(clean)
+        half = min(len(positive), LANDMARKS)
+        tables = tables_of(positive[:half] + negative[:LANDMARKS])
         among = tables @ tables.T
         picked = _spread(among[:half, :half], LANDMARKS * 3 // 4) + [half + i for i in _spread(among[half:, half:], LANDMARKS // 4)]
         landmark = tables[picked].astype(np.float64)
+        del tables
         values, vectors = np.linalg.eigh(among[np.ix_(picked, picked)].astype(np.float64))
-        keep = values > 1e-3
+        keep = values > 1e-4
         root = vectors[:, keep] / np.sqrt(values[keep])
         z = against(positive + negative, landmark).astype(np.float64) @ root
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        own = np.array([toxic[w] for w in positive]) ** 0.5
-        weight = np.concatenate([own / own.sum(), np.full(len(negative), 1.0 / len(negative))])
-        v = _linear_machine(z, y, weight, PENALTY)
-        machine = Machine(((root @ v[:-1]) @ landmark), float(v[-1]))
-        hardest = np.argsort(-machine.margins(clean), kind="stable")[:MINED]
-        negative = list(dict.fromkeys([clean[i] for i in hardest] + negative))
+        own, other = np.array([toxic[w] for w in positive]), np.array([clean[w] + 0.5 for w in negative])
+        v = _linear_machine(z, y, np.concatenate([own / own.sum(), other / other.sum()]), PENALTY)
+        machine = Machine((root @ v[:-1]) @ landmark, float(v[-1]), name=uuid.uuid4().hex)
+        clean = mine(machine) | clean  # the hardest come first
     return machine
 
 
-def calibrate(machine: Machine, margin: np.ndarray, toxic: np.ndarray) -> Machine:
-    """The logistic fit of labels to margins, by Newton steps, with smoothed targets."""
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
-    if not n1 or not n0:
+def calibrate(machine: Machine, margin: np.ndarray, log_words: np.ndarray, toxic: np.ndarray) -> Machine:
+    """The logistic fit of labels to the margins of texts and the logarithms of their numbers of words, by Newton steps."""
+    if not 0 < toxic.sum() < len(toxic):
         return machine
-    target = np.where(toxic == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([margin, np.ones(len(margin))], axis=1)
-    v = np.zeros(2)
-    for _ in range(60):
+    most = float(np.quantile(log_words, 0.9))
+    x = np.stack([margin, np.minimum(log_words, most), np.ones(len(margin))], axis=1)
+    v = np.zeros(3)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (p - target) + 1e-3 * v)
-        v -= np.clip(step, -5, 5)
-    return Machine(machine.table, machine.bias, float(v[0]), float(v[1]))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
+        v -= np.clip(np.linalg.solve(hessian, x.T @ (p - toxic) + 1e-2 * v), -3, 3)
+    slope, per_log, shift = map(float, v)
+    if slope <= 0:  # the margins tell nothing
+        return replace(machine, slope=0.0, shift=float(np.log(toxic.sum() / (len(toxic) - toxic.sum()))))
+    return replace(machine, slope=slope, shift=shift, per_log=per_log / slope, most=most)
+
+
+#: The words that this worker has met, by machine; only the last machine's are kept.
+_met: dict[str, dict[bytes, float]] = {}
 
 
-class Margins(dict):
-    """The margin of each word met so far, scored many at a time."""
+class Margins:
+    """The margins of texts. The margin of each word met so far is kept for the tasks to come."""
 
     def __init__(self, machine: Machine):
         self.machine = machine
+        if machine.name not in _met:
+            _met.clear()
+        self.known = _met.setdefault(machine.name, {})
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > MEMO:
-            self.clear()
-            new = list(words)
-        ways = [variants(w) for w in new]
-        flat = [v for own in ways for v in own]
-        known = list(dict.fromkeys(flat))
-        score = dict(zip(known, self.machine.margins(known).tolist()))
-        for w, own in zip(new, ways):
-            self[w] = max([score[v] for v in own], default=FLOOR)
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-        """The largest margin of each text and the word that has it."""
-        split = [set(words_of(t)) for t in texts]
-        for at in range(0, len(split), 256):
-            self.learn(set().union(*split[at : at + 256]))
-        best = []
-        for own in split:
-            if any(w not in self for w in own):
-                self.learn(own)
-            best.append(max(own, key=self.__getitem__, default=b""))
-        return np.array([self[w] if w else FLOOR for w in best]), best
-
-
-def stretches(word: bytes) -> list[bytes]:
-    ended = bytes([_BEGIN]) + word + bytes([_END])
-    return [ended[at : at + STRETCH] for at in range(max(1, len(ended) - STRETCH + 1))]
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > MEMO:
+            self.known.clear()
+            new = words
+        plain = [w for w in new if 1 < len(w) <= WIDTH and b"{" not in w]
+        for w, margin in zip(plain, self.machine.margins([w.translate(_CODES) for w in plain]).tolist()):
+            self.known[w] = margin
+        ways = {w: variants(w) for w in new if w not in self.known}
+        flat = list({v for own in ways.values() for v in own})
+        score = dict(zip(flat, self.machine.margins(flat).tolist()))
+        for w, own in ways.items():
+            self.known[w] = max([score[v] for v in own], default=FLOOR)
+
+    def parts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the mean of the highest margins of words and the logarithm of one more than the number of words."""
+        means, numbers = [], []
+        for at in range(0, len(texts), TOGETHER):
+            split = [words_of(t) for t in texts[at : at + TOGETHER]]
+            self.learn(set().union(*split))
+            for own in split:
+                best = sorted(map(self.known.__getitem__, own))[-WITNESSES:]
+                means.append(sum(best) / len(best) if best else FLOOR)
+                numbers.append(len(own))
+        return np.array(means), np.log1p(np.array(numbers))
+
+    def chances(self, texts: list[bytes]) -> np.ndarray:
+        mean, log_words = self.parts(texts)
+        return self.machine.chance(mean + self.machine.per_log * np.minimum(log_words, self.machine.most))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and how many clean texts hold each stretch and each word, as far as a task has met them."""
-    schema = pa.schema([("kind", pa.int32()), ("what", pa.binary()), ("t", pa.int64()), ("c", pa.int64())])
+    """How many toxic and how many clean texts hold each word, as far as a task has met them."""
+    schema = pa.schema([("what", pa.binary()), ("t", pa.int64()), ("c", pa.int64())])
     for _, _, texts, toxic in blocks(batches):
-        for begin in range(0, len(texts), 1000):
-            held = [[Counter(), Counter()], [Counter(), Counter()]]  # by kind and label
-            for text, label in zip(texts[begin : begin + 1000], toxic[begin : begin + 1000]):
-                own = {v for w in set(words_of(text)) for v in variants(w)}
-                held[1][label].update(own)
-                held[0][label].update({s for w in own for s in stretches(w)})
-            for kind, (clean, bad) in enumerate(held):
-                what = list(clean.keys() | bad.keys())
-                columns = [[kind] * len(what), what, [bad[w] for w in what], [clean[w] for w in what]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
-def speaks(t: np.ndarray, c: np.ndarray, n_t: int, n_c: int) -> np.ndarray:
-    """Whether being in t of n_t toxic and c of n_c clean texts speaks against a text."""
-    share = n_t / max(n_t + n_c, 1)
-    both = t + c
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (np.where(t > 0, t * np.log(t / (both * share)), 0) + np.where(c > 0, c * np.log(c / (both * (1 - share))), 0))
-    return (ratio >= SPEAKING_LEAST) & (t / max(n_t, 1) >= SPEAKING_RATIO * (c + 0.5) / max(n_c, 1))
+        clean, bad = held = [Counter(), Counter()]
+        for text, label in zip(texts, toxic):
+            held[label].update({v for w in words_of(text) for v in variants(w)})
+        what = list(clean.keys() | bad.keys())
+        columns = [what, [bad[w] for w in what], [clean[w] for w in what]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each sentence, parted by a zero byte, and the label of its text."""
+    for _, _, texts, toxic in blocks(batches):
+        for begin in range(0, len(texts), 200):
+            rows = [
+                (b"\0".join(sorted({v for w in words_of(s) for v in variants(w)})), label)
+                for text, label in zip(texts[begin : begin + 200], toxic[begin : begin + 200])
+                for s in _SENTENCE_END.split(text)
+            ]
+            words, labels = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(labels, pa.int64())], names=["words", "toxic"])
+
 
+def _witnesses(margins: Callable[[list[bytes]], dict[bytes, float]]):
+    """(word, margin, n) for each of the sentences (words, n) that has a word with a margin: its word of the highest one."""
 
-def _witnesses(machine: Machine):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margins = Margins(machine)
-        for _, _, texts, toxic in blocks(batches):
-            margin, word = margins.of(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(margin), pa.array(toxic, pa.int64())], names=["word", "margin", "toxic"])
+        for batch in batches:
+            split = [w.split(b"\0") for w in batch.column(0).to_pylist()]
+            margin = margins(list(set().union(*split) - {b""}))
+            best = [max((w for w in own if w in margin), key=lambda w: (margin[w], w), default=None) for own in split]
+            rows = [(w, margin[w], n) for w, n in zip(best, batch.column(1).to_pylist()) if w is not None]
+            word, value, n = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(value, pa.float64()), pa.array(n, pa.int64())], names=["word", "margin", "n"])
 
     return find
 
 
+def speaking(t: np.ndarray, c: np.ndarray, n_t: int, n_c: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether being in t of n_t toxic and c of n_c clean texts speaks against a text, how much)."""
+    share = n_t / max(n_t + n_c, 1)
+    both = t + c
+    with np.errstate(divide="ignore", invalid="ignore"):
+        likely = 2 * (np.where(t > 0, t * np.log(t / (both * share)), 0) + np.where(c > 0, c * np.log(c / (both * (1 - share))), 0))
+    much = np.log((t + 0.1) / (n_t + 0.2)) - np.log((c + 0.5) / (n_c + 1))
+    return (likely >= SPEAKING_LEAST) & (much >= SPEAKING_RATIO) & (t >= SPEAKING_TEXTS), much
+
+
 def train(sample: DataFrame) -> Machine:
     """sample: (_id, _text, toxic 0 or 1), at most SAMPLE rows of each label."""
     spark = sample.sparkSession
@@ -319,24 +369,35 @@ def train(sample: DataFrame) -> Machine:
     own = sample.where(~F.col("fold")).select("_id", "_text", "toxic")
     n = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
     n_t, n_c = n.get(1, 0), n.get(0, 0)
-    counts, counts_path = written(own.mapInArrow(_counts, "kind int, what binary, t long, c long").groupBy("kind", "what").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
-    likely = f"t * {max(n_c, 1)} >= {SPEAKING_RATIO} * (c + 0.5) * {max(n_t, 1)}"  # as speaks() asks, so that fewer come to the driver
-    known = counts.where(f"kind = 0 and {likely}").select("what", "t", "c").toPandas()  # of a sample of texts of bounded number
-    speaking = {bytes(w) for w, yes in zip(known["what"], speaks(known["t"].to_numpy(float), known["c"].to_numpy(float), n_t, n_c)) if yes}
-    clean = [bytes(r["what"]) for r in counts.where("kind = 1 and c > 0").orderBy(F.desc("c"), F.xxhash64("what")).limit(CLEAN_WORDS).collect()]
-
-    def speakers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [any(s in speaking for s in stretches(w)) for w in batch.column(0).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    words = counts.where(f"kind = 1 and t > 0 and t * {max(n_c, 1)} >= 10 * c * {max(n_t, 1)}").select("what", "t").mapInArrow(speakers, "what binary, t long")
-    toxic = {bytes(r["what"]): float(r["t"]) for r in words.orderBy(F.desc("t"), "what").limit(4 * MINED).collect()}
-    machine = fit(toxic, clean)
-    if toxic and clean:
-        held = sample.where("fold").select("_id", "_text", "toxic").mapInArrow(_witnesses(machine), "word binary, margin double, toxic long").select("margin", "toxic").toPandas()
-        machine = calibrate(machine, held["margin"].to_numpy(), held["toxic"].to_numpy())
-    drop(spark, path, counts_path)
+    counts, counts_path = written(own.mapInArrow(_counts, "what binary, t long, c long").groupBy("what").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+    likely = counts.where(f"t >= {SPEAKING_TEXTS} and t * {n_c + 1} >= c * {n_t}")  # so that few come to the driver
+    known = likely.toPandas()  # from a sample of texts of bounded number
+    speak, much = speaking(known["t"].to_numpy(float), known["c"].to_numpy(float), n_t, n_c)
+    against_text = {bytes(w): float(x) for w, x, yes in zip(known["what"], much, speak) if yes}
+    start = {bytes(r["what"]): float(r["c"]) for r in counts.where("c > 0").orderBy(F.xxhash64("what"), "what").limit(2 * MINED).collect()}
+    sentences, sentences_path = written(own.mapInArrow(_sentences, "words binary, toxic long").groupBy("words", "toxic").agg(F.count("*").alias("n")))
+
+    def witnesses(label: int, margins: Callable[[list[bytes]], dict[bytes, float]]) -> DataFrame:
+        found = sentences.where(F.col("toxic") == label).select("words", "n").mapInArrow(_witnesses(margins), "word binary, margin double, n long")
+        return found.groupBy("word").agg(F.max("margin").alias("margin"), F.sum("n").alias("n"))
+
+    def mine(machine: Machine) -> dict[bytes, float]:
+        hardest = witnesses(0, lambda words: dict(zip(words, machine.margins(words).tolist()))).orderBy(F.desc("margin"), "word").limit(MINED)
+        return {bytes(r["word"]): float(r["n"]) for r in hardest.collect()}
+
+    toxic = {bytes(r["word"]): float(r["n"]) for r in witnesses(1, lambda words: {w: against_text[w] for w in words if w in against_text}).collect()}
+    machine = fit(toxic, start, mine)
+    if toxic and start:
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            margins = Margins(machine)
+            for _, _, texts, labels in blocks(batches):
+                columns = (*margins.parts(texts), labels)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.float64(), pa.int64()))], names=["margin", "words", "toxic"])
+
+        held = sample.where("fold").select("_id", "_text", "toxic").mapInArrow(parts, "margin double, words double, toxic long").toPandas()
+        machine = calibrate(machine, *(held[c].to_numpy() for c in ("margin", "words", "toxic")))
+    drop(spark, path, counts_path, sentences_path)
     return machine
 
 
@@ -347,8 +408,7 @@ def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str =
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margins = Margins(machine)
         for _, ids, texts, _ in blocks(batches):
-            margin, _ = margins.of(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(machine.chance(margin))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(margins.chances(texts))], names=["doc_id", "score"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     return rows.mapInArrow(judge, "doc_id long, score double")
@@ -363,8 +423,8 @@ def without_toxic(docs: DataFrame, machine: Machine, cut: float, text: str = "te
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 part = batch.slice(at, 2048)
-                margin, _ = margins.of([t or b"" for t in part.column(place).cast(pa.binary()).to_pylist()])
-                yield part.filter(pa.array(machine.chance(margin) < cut))
+                chance = margins.chances([t or b"" for t in part.column(place).cast(pa.binary()).to_pylist()])
+                yield part.filter(pa.array(chance < cut))
 
     return docs.mapInArrow(keep, docs.schema)
 
