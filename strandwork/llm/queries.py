@@ -169,3 +169,13 @@ SELECT 'call-' || conv_id || '-' || turn AS call_id, session, level::INT AS leve
     || CASE WHEN session IS NULL THEN 'null' ELSE '"reply"' END || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS canonical
 FROM linked
 """
+
+ORACLE_SQL["op4_vector_dedup"] = """
+WITH RECURSIVE usable AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reach(node, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT node, b FROM reach JOIN links ON other = a),
+components AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN degrees ON a = vec_id JOIN components ON node = vec_id
+"""
