@@ -226,6 +226,23 @@ def _expectations(model: Model) -> Callable:
     return count
 
 
+def learn(training: DataFrame, top: list[bytes]) -> Model:
+    """The model of the texts (_id, _text) in training; top: the words with classes of their own."""
+    sequences, sequences_path = written(training.mapInArrow(_encoded(top), "classes binary"))
+    pairs = _added(sequences, _pair_counts, CLASSES)
+    pairs = np.stack([pairs[k] for k in range(CLASSES)]) if pairs else np.zeros((CLASSES, CLASSES))
+    model = first_model(pairs)
+    for _ in range(ROUNDS if pairs.any() else 0):
+        got = _added(sequences, _expectations(model), CLASSES)
+        moves = np.stack([got[1 + s][:STATES] for s in range(STATES)]) + 0.1
+        emits = np.stack([got[1 + s][STATES:] for s in range(STATES)])
+        emits += 1e-3 * (emits.sum(0) + 1) / (emits.sum() + CLASSES) * CLASSES
+        starts = got[0][:STATES] + 0.1
+        model = Model(starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(1, keepdims=True))
+    drop(training.sparkSession, sequences_path)
+    return model
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs.
 
@@ -247,19 +264,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     n_train, n_kinds = (kinds["n"] or 0) + n_docs, kinds["v"] + (n_docs > 0)
     base_total = np.log10(n_train + ADDED * (n_kinds + 1))
 
-    sequences, sequences_path = written(training.mapInArrow(_encoded(top), "classes binary"))
-    pairs = _added(sequences, _pair_counts, CLASSES)
-    pairs = np.stack([pairs[k] for k in range(CLASSES)]) if pairs else np.zeros((CLASSES, CLASSES))
-    model = first_model(pairs)
-    for _ in range(ROUNDS if pairs.any() else 0):
-        got = _added(sequences, _expectations(model), CLASSES)
-        moves = np.stack([got[1 + s][:STATES] for s in range(STATES)]) + 0.1
-        emits = np.stack([got[1 + s][STATES:] for s in range(STATES)])
-        emits += 1e-3 * (emits.sum(0) + 1) / (emits.sum() + CLASSES) * CLASSES
-        starts = got[0][:STATES] + 0.1
-        model = Model(starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(1, keepdims=True))
-    drop(spark, sequences_path)
-
+    model = learn(training, top)
     top_counts = {bytes(r["word"]): r["n"] for r in top_rows}
 
     def tail_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -244,6 +244,37 @@ def test_hmm_scores(spark):
     assert hmm.score(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_hmm_scores_are_the_model_s(spark):
+    """The chance of each text worked out plainly: states one after the other, and each word's share of its class."""
+    texts = ODD + sentences(400, 8, 2500)
+    docs = frame(spark, texts).repartition(3)
+    got = {r["doc_id"]: r["score"] for r in hmm.score(docs).collect()}
+    words = [hmm.words((t or "").encode()) for t in texts]
+    training = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for i in training for w in words[i])
+    top = sorted(counts, key=lambda w: (-counts[w], w))[: hmm.TOP]
+    assert len(top) < len(counts)  # some words share classes
+    model = hmm.learn(docs.where(F.col("doc_id").isin(training)).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), top)
+    own = {w: k for k, w in enumerate(top)}
+    shared = lambda w: hmm.TOP + zlib.crc32(w[-2:]) % hmm.TAIL
+    tokens, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        if w not in own:
+            tokens[shared(w)] += n
+            kinds[shared(w)] += 1
+    for i, text in enumerate(words):
+        total, state = 0.0, list(model.start)
+        for w in [*text, None]:
+            k = hmm.END if w is None else own.get(w, shared(w))
+            state = [p * model.emit[s, k] for s, p in enumerate(state)]
+            if w is not None and w not in own:
+                total += math.log10((counts[w] + 0.1) / (tokens[k] + 0.1 * (kinds[k] + 1)))
+            total += math.log10(sum(state))
+            state = [sum(p * model.move[s, z] for s, p in enumerate(state)) / sum(state) for z in range(hmm.STATES)]
+        assert got[i] == pytest.approx(total, rel=1e-4, abs=1e-4)
+    assert (model.start @ model.emit).sum() == pytest.approx(1)
+
+
 def test_forward_recursion_is_the_sum_over_all_paths():
     rng = np.random.default_rng(0)
     model = hmm.Model(*(a / a.sum(-1, keepdims=True) for a in (rng.random(hmm.STATES), rng.random((hmm.STATES, hmm.STATES)), rng.random((hmm.STATES, hmm.CLASSES)))))
