@@ -89,7 +89,7 @@ def threshold(scored: DataFrame) -> Column:
     lost = F.coalesce(F.sum("pos").over(below), F.lit(0)) / F.greatest(F.sum("pos").over(whole), F.lit(1))
     caught = F.coalesce(F.sum("neg").over(below), F.lit(0)) / F.greatest(F.sum("neg").over(whole), F.lit(1))
     rated = histogram.select("bin", (caught - lost).alias("worth"), (-F.abs(F.col("bin"))).alias("near"))
-    return rated.agg(F.max_by(F.col("bin"), F.struct("worth", "near")).alias("bin")).select((F.coalesce("bin", F.lit(0)) / F.lit(float(STEPS))).alias("threshold"))
+    return rated.agg(F.max_by(F.col("bin"), F.struct("worth", "near", "bin")).alias("bin")).select((F.coalesce("bin", F.lit(0)) / F.lit(float(STEPS))).alias("threshold"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:

@@ -322,6 +322,71 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(pages.where("page_id < 4"), RULES).collect()} == {"allow"}
 
 
+def witten_bell(urls):
+    """The chance of a character after a context, plainly."""
+    follow = {}
+    for u in urls:
+        padded = url_filter.BEGIN * url_filter.ORDER + u + url_filter.STOP
+        for at in range(url_filter.ORDER, len(padded)):
+            for k in range(url_filter.ORDER + 1):
+                follow.setdefault(padded[at - k : at], Counter())[padded[at]] += 1
+
+    def chance(context, c):
+        seen = follow.get(context, Counter())
+        shorter = chance(context[1:], c) if context else 1 / (len(seen) + 1)
+        return (seen[c] + len(seen) * shorter) / (seen.total() + len(seen)) if seen else shorter
+
+    return chance
+
+
+def test_urls_are_judged_as_by_plain_models(spark):
+    rng = random.Random(9)
+    make = lambda hosts, words: f"http://{rng.choice('abc')}{rng.randrange(30)}.{rng.choice(hosts)}/{rng.choice(words)}{rng.randrange(100)}?é={rng.randrange(5)}"
+    urls = [make(["example.com", "a.net"], ["en/7", "de/"]) for _ in range(150)] + [make(["shop.com"], ["en/buy", "en/"]) for _ in range(150)]
+    urls += [make(["shop.org", "example.org"], ["en/buy", "de/", "x"]) for _ in range(100)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = url_filter.judge_urls(pages, RULES).collect()
+    ruled = {r["url"]: r["verdict"] for r in got if r["rule"] is not None}
+    held = lambda u: zlib.crc32(u.encode()) % url_filter.FOLDS == 0
+    good, bad = (witten_bell([u for u, v in ruled.items() if v == kind and not held(u)]) for kind in ("allow", "block"))
+
+    def score(u):
+        padded = url_filter.BEGIN * url_filter.ORDER + u + url_filter.STOP
+        steps = [(padded[at - url_filter.ORDER : at], padded[at]) for at in range(url_filter.ORDER, len(padded))]
+        return sum(math.log(good(*s)) - math.log(bad(*s)) for s in steps) / len(steps)
+
+    known = [(math.floor(score(u) * url_filter.STEPS), v) for u, v in ruled.items() if held(u)]
+    share = lambda cut, kind: sum(b < cut for b, v in known if v == kind) / max(1, sum(v == kind for _, v in known))
+    cut = max({b for b, _ in known}, key=lambda b: (share(b, "block") - share(b, "allow"), -abs(b), b)) / url_filter.STEPS
+    free = [r for r in got if r["rule"] is None]
+    assert {r["verdict"] for r in free} == {"allow", "block"}
+    for r in free:
+        assert r["score"] == pytest.approx(score(r["url"]), abs=1e-6)
+        assert r["verdict"] == ("block" if score(r["url"]) < cut else "allow")
+
+
+def test_toxicity_tells_texts_of_two_languages(spark):
+    """A few toxic texts of a second language, whose words begin like its harmless ones."""
+    rng = random.Random(12)
+    other = ["ach" + a + b for a in ("lich", "keit", "ung") for b in ("en", "er", "te", "sch", "pf", "zu")]
+    harmless, foul = [w for w in other if "lich" not in w], [w for w in other if "lich" in w]
+    texts, toxic = [], []
+    for i, t in enumerate(sentences(900, 13, 1500)):
+        bad, second = rng.random() < 0.3, i % 4 == 0
+        w = [rng.choice(harmless) if second and rng.random() < 0.5 else x for x in t.split()]
+        for _ in range(3 if bad else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(foul if second else ["blorkhead", "nincompoop"]))
+        texts.append(" ".join(w[:8]) + ". " + " ".join(w[8:]) + ".")
+        toxic.append(int(bad))
+    docs = frame(spark, texts)
+    machine = toxicity.learn(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, machine).collect()}
+    for second in (False, True):
+        held = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 == 1 and (i % 4 == 0) == second]
+        pairs = [got[i] > got[j] for i in held for j in held if toxic[i] > toxic[j]]
+        assert len(pairs) > 100 and sum(pairs) / len(pairs) >= 0.9
+
+
 def test_subsequence_kernel_is_the_definition():
     from itertools import combinations
 
