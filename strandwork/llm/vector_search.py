@@ -191,12 +191,12 @@ def search(table: DataFrame, asked: Column, k: int = 20, recall: float = RECALL,
     inner product that the search finds, nearest first, ties to the smaller id.
 
     asked: a condition on table. Vectors that are null, zero, hold null or non-finite components or aren't of the most
-    frequent dimension take no part, nor do rows with a null id. Repeated rows of one id count once. With k rows or
+    frequent dimension take no part, nor do rows with a null id. Repeated rows of one id count once, by the smallest of their vectors. With k rows or
     fewer all are found. Other columns don't matter.
     """
     spark = table.sparkSession
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(asked, F.lit(False)).alias("asked"))
-    rows = rows.where(usable("vector") & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.first("vector").alias("vector"), F.max("asked").alias("asked"))
+    rows = rows.where(usable("vector") & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("vector").alias("vector"), F.max("asked").alias("asked"))
     rows, rows_path = written(rows)
     dim, dtype = common_dim(rows, "vector"), dtype_of(rows, "vector")
     rows = rows.where(F.size("vector") == dim)
