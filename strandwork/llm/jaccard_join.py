@@ -16,9 +16,10 @@ How it is spread:
 3. Rounds of links through one representative per prefix shingle tie families of near copies together: one verified
    pair a document and round, never a family's square.
 4. What is left are shingles in the prefixes of documents that are not tied together yet. Where few documents hold such a
-   shingle, its pairs are counted against the smaller m of the two and verified. Documents that meet in a shingle of many
-   are compared in tiles, all with all, by matrix products, and only what ties them together is reported: a family of
-   documents that are nearly similar enough never becomes rows of pairs. So no link between two components is missed.
+   shingle, its pairs are counted against the smaller m of the two and verified. Documents that hold a shingle of many are
+   put into tiles of like documents, and the same prefixes, matches and sizes decide which tiles meet. Two that do are
+   compared by matrix products, and only what ties their documents together is reported: many documents that are nearly
+   similar enough never become rows of pairs. So no link between two components is missed.
 """
 
 from __future__ import annotations
@@ -44,8 +45,9 @@ RANGE = 1_500_000
 MOST_MATCHES, VERIFY = 6, 0.05
 #: Rounds of links through representatives.
 ROUNDS = 2
-#: A shingle that more open documents hold has them compared in tiles; documents in a tile.
-DENSE, TILE = 24, 512
+#: A shingle that more open documents hold has them compared in tiles; documents in a tile, and shingles, about; tiles that a
+#: shingle has in a split.
+DENSE, TILE, TILE_SHINGLES, SPLIT = 24, 512, 1_000_000, 256
 MEMO = 500_000
 
 _U8 = np.dtype("<u8")
@@ -235,11 +237,55 @@ def _sets(percent: int, common: np.ndarray, common_n: np.ndarray):
     return assemble
 
 
+def _tiles(open_: DataFrame, percent: int) -> DataFrame:
+    """(name, tile, n, matches, tie) for the documents of open_ that hold a shingle of many.
+
+    Documents of a tile are of like size, and what they are put together by is the shingle that most documents hold: a
+    tile's worth of documents with the same one is cut into tiles, and those with rarer ones share tiles by its hash. A
+    tile has about TILE documents and TILE_SHINGLES shingles at most.
+    """
+    band = F.col("n") if percent >= 100 else F.floor(F.log("n") / math.log(100 / percent))
+    often = open_.where(F.col("holders") > DENSE).withColumn("band", band.cast("long"))
+    docs = often.groupBy("name", "band", "n", "matches", "tie").agg(F.max(F.struct("holders", "shingle")).alias("most"))
+    docs = docs.select("name", "band", "n", "matches", "tie", F.col("most.shingle").alias("anchor"))
+    full = F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)
+    anchors = docs.groupBy("band", "anchor").agg(full.alias("full"))
+    rest = anchors.where("full < 1").groupBy("band").agg(F.ceil(F.sum("full")).cast("long").alias("rest"))
+    anchors = anchors.join(rest, "band", "left")
+    together = F.when(F.col("full") < 1, F.pmod(F.xxhash64("anchor"), "rest")).otherwise(F.col("anchor"))
+    piece = F.when(F.col("full") < 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("name"), F.ceil("full")))
+    tile = F.xxhash64("band", F.col("full") < 1, together, piece)
+    return docs.join(anchors, ["band", "anchor"]).select("name", tile.alias("tile"), "n", "matches", "tie")
+
+
+def _meeting(open_: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """(i, j) with i <= j for the pairs of tiles that may hold a similar pair of documents tied to different things.
+
+    What holds for two documents holds for their tiles: they share a shingle of many and at least as many shingles of
+    prefixes as the least matches ask for, and neither is too large for the other. Tiles that share nothing never meet,
+    however many others lie between them. A shingle of many tiles is split by SPLIT of them.
+    """
+    rows = open_.select("name", "shingle", "holders").join(placed.select("name", "tile"), "name")
+    held = rows.groupBy("tile", "shingle").agg(F.max("holders").alias("holders"))
+    facts = placed.groupBy("tile").agg(*[f(c).alias(f"{k}_{c}") for k, f, c in (("least", F.min, "n"), ("most", F.max, "n"), ("least", F.min, "matches"), ("least", F.min, "tie"), ("most", F.max, "tie"))])
+    shares = held.groupBy("shingle").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("splits"))
+    held = held.join(shares, "shingle")
+    left = held.select("shingle", "holders", F.col("tile").alias("i"), F.pmod(F.xxhash64("tile"), "splits").cast("int").alias("split"))
+    right = held.select("shingle", F.col("tile").alias("j"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"))
+    pairs = left.join(right, ["shingle", "split"]).where("i <= j").groupBy("i", "j").agg(F.count("*").alias("met"), F.max("holders").alias("most"))
+    pairs = pairs.where(F.col("most") > DENSE)
+    for side in ("i", "j"):
+        pairs = pairs.join(facts.select(F.col("tile").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in facts.columns if c != "tile"]), side)
+    untied = F.least("i_least_tie", "j_least_tie") < F.greatest("i_most_tie", "j_most_tie")
+    sized = (100 * F.col("i_most_n") >= percent * F.col("j_least_n")) & (100 * F.col("j_most_n") >= percent * F.col("i_least_n"))
+    return pairs.where(untied & sized & (F.col("met") >= F.least("i_least_matches", "j_least_matches"))).select("i", "j")
+
+
 def _tied_in_tiles(percent: int):
     """Compares the documents of two tiles and reports links that tie together all that links between them tie."""
 
     def compare(key: tuple, part: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
+        i, j = key[0].as_py(), key[1].as_py()
         names, ties, n, side = (part[c].to_numpy() for c in ("name", "tie", "n", "tile"))
         packed = part["shared"].to_pylist()
         each = np.array([len(p) >> 3 for p in packed])
@@ -294,7 +340,11 @@ def _similar(percent: int):
 def link(names: DataFrame, rows: DataFrame, size: int, percent: int, common: np.ndarray, common_n: np.ndarray, ranges: int) -> tuple[DataFrame | None, list[str]]:
     """Links (a, b) between the names of different sets that tie together whatever similar pairs tie, and scratch paths."""
     dealt = rows.mapInArrow(_dealt(size, ranges, common), "range long, block long, names binary, sizes binary, places binary, hashes binary")
+    if ranges > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):  # so that tasks don't grow with the table
+        dealt = dealt.repartition(ranges, "range")
     together = dealt.groupBy("range").applyInArrow(_repeated, "block long, places binary, hashes binary, often binary, names binary, sizes binary")
+    if ranges > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        together = together.repartition(ranges, "block")
     sets = together.groupBy("block").applyInArrow(_sets(percent, common, common_n), "name long, n long, matches int, entries array<long>, shared binary")
     sets, sets_path = written(sets)
     # A set that blocks share is there for each of them. Its entries may differ by what a block knows, so they are united.
@@ -333,16 +383,12 @@ def link(names: DataFrame, rows: DataFrame, size: int, percent: int, common: np.
             pairs = few.join(other, "shingle").where((F.col("name") < F.col("b")) & (F.col("tie") != F.col("tie_b")) & sized)
             pairs = pairs.groupBy(F.col("name").alias("a"), "b").agg(F.count("*").alias("met"), F.first(F.least("matches", "m_b")).alias("needed"))
             pairs = pairs.where("met >= needed").select("a", "b")
-            many = open_.where(F.col("holders") > DENSE).select("shingle", "name")
-            lowest = many.groupBy("shingle").agg(F.min("name").alias("b"))
-            met = components(many.join(lowest, "shingle").where("name <> b").select(F.col("name").alias("a"), "b").distinct())
-            members = met.select(F.col("node").alias("name"), F.col("component").alias("family"))
-            tiles = members.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-            named = open_.select("name", "tie").distinct()
-            dense = members.join(tiles, "family").join(named, "name").join(sets.select("name", "n", "shared"), "name")
-            dense = dense.withColumn("tile", F.pmod(F.xxhash64("name"), F.col("tiles")).cast("int"))
-            dense = dense.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
-            dense = dense.select("family", "i", "j", "tile", "name", "tie", "n", "shared").groupBy("family", "i", "j").applyInArrow(_tied_in_tiles(percent), "a long, b long")
+            placed, placed_path = written(_tiles(open_, percent))
+            paths.append(placed_path)
+            meet = _meeting(open_, placed, percent)
+            sides = meet.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
+            dense = sides.join(placed.select("tile", "name", "tie", "n"), "tile").join(sets.select("name", "shared"), "name")
+            dense = dense.groupBy("i", "j").applyInArrow(_tied_in_tiles(percent), "a long, b long")
             dense, dense_path = written(dense)
             paths.append(dense_path)
             links = links.union(dense)

@@ -212,6 +212,38 @@ def test_dense_families_in_tiles(spark, monkeypatch):
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
 
 
+@pytest.mark.parametrize("tile,split", [(4, 2), (64, 256)])
+def test_tiles_of_documents_that_may_be_similar_meet(spark, monkeypatch, tile, split):
+    """Holders of shingles in chains of groups: each pair that could be similar has its tiles meet, and few others do."""
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "SPLIT", split)
+    monkeypatch.setattr(jaccard_join, "DENSE", 3)
+    rng = random.Random(tile)
+    docs = {}
+    for name in range(150):
+        group = rng.randrange(6)
+        held = {10 * group + k for k in rng.sample(range(8), 5)} | ({10 * (group + 1)} if rng.random() < 0.2 else set())
+        docs[name] = (held, rng.choice([10, 11, 12, 30, 400]), rng.randrange(1, 4), rng.choice([name, 0]))
+    holders = Counter(s for held, *_ in docs.values() for s in held)
+    rows = [(name, n, m, tie, s, holders[s]) for name, (held, n, m, tie) in docs.items() for s in held]
+    open_ = spark.createDataFrame(rows, "name long, n long, matches int, tie long, shingle long, holders long")
+    placed = jaccard_join._tiles(open_, 85)
+    tile_of = {r["name"]: r["tile"] for r in placed.collect()}
+    assert tile_of.keys() == docs.keys()
+    meet = {(r["i"], r["j"]) for r in jaccard_join._meeting(open_, placed, 85).collect()}
+    assert all(i <= j for i, j in meet)
+    for a, (x, n, m, tie) in docs.items():
+        for b, (y, o, k, other) in docs.items():
+            both = x & y
+            if tie != other and 100 * min(n, o) >= 85 * max(n, o) and len(both) >= min(m, k) and max(holders[s] for s in both) > 3:
+                assert tuple(sorted((tile_of[a], tile_of[b]))) in meet
+    groups = {}
+    for name, (held, *_) in docs.items():
+        groups.setdefault(tile_of[name], set()).update(held)
+    assert all(groups[i] & groups[j] for i, j in meet)
+    assert jaccard_join._tiles(open_.limit(0), 100).count() == 0
+
+
 def test_packed_hashes_come_back():
     rng = np.random.default_rng(1)
     for n, top in ((0, 9), (1, 1 << 63), (5, 1 << 63), (5000, 1 << 60), (5000, 1 << 40)):
