@@ -340,12 +340,9 @@ def _similar(percent: int):
 def link(names: DataFrame, rows: DataFrame, size: int, percent: int, common: np.ndarray, common_n: np.ndarray, ranges: int) -> tuple[DataFrame | None, list[str]]:
     """Links (a, b) between the names of different sets that tie together whatever similar pairs tie, and scratch paths."""
     dealt = rows.mapInArrow(_dealt(size, ranges, common), "range long, block long, names binary, sizes binary, places binary, hashes binary")
-    if ranges > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):  # so that tasks don't grow with the table
-        dealt = dealt.repartition(ranges, "range")
+    dealt = dealt.withColumn("range", F.col("range").cast("int")).repartitionById(ranges, "range")  # one a task
     together = dealt.groupBy("range").applyInArrow(_repeated, "block long, places binary, hashes binary, often binary, names binary, sizes binary")
-    if ranges > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        together = together.repartition(ranges, "block")
-    sets = together.groupBy("block").applyInArrow(_sets(percent, common, common_n), "name long, n long, matches int, entries array<long>, shared binary")
+    sets = together.repartition(ranges, "block").groupBy("block").applyInArrow(_sets(percent, common, common_n), "name long, n long, matches int, entries array<long>, shared binary")
     sets, sets_path = written(sets)
     # A set that blocks share is there for each of them. Its entries may differ by what a block knows, so they are united.
     one = sets.groupBy("name").agg(F.first("n").alias("n"), F.min("matches").alias("matches"), F.array_distinct(F.flatten(F.collect_list("entries"))).alias("entries"), F.first("shared").alias("shared"))
