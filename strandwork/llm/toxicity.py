@@ -3,7 +3,8 @@
 The kernel of two words counts the subsequences of three characters that they share, each weighted by DECAY to the power
 of the stretch it spans in either word, and is normalised; the word's two ends count as characters. So letters put in,
 left out or set apart lower a word's likeness to an insult a little, where exact matching would lose it. A sentence is as
-toxic as its most toxic word, its witness; a text is as toxic as its most toxic sentence.
+toxic as its most toxic word, its witness; a text is as toxic as its most toxic sentence. When texts are scored, two words
+of one to four letters in a row are also taken together, as an insult may be cut in two by a space.
 
 Training: a bounded sample of labelled texts, split into sentences. A word speaks against a text if the toxic texts of the
 sample hold it far oftener than the clean ones, in whatever language. The word that speaks most is the witness of a toxic
@@ -48,8 +49,8 @@ LANDMARKS, ROUNDS, MINED, PENALTY = 400, 5, 400, 1e-3
 SPEAKING_TEXTS, SPEAKING_RATIO, SPEAKING_LEAST = 3, 1.5, 8.0
 #: Words that a text's margin is the mean of.
 WITNESSES = 3
-#: Margins under this aren't told apart.
-FLOOR = -0.7
+#: Margins under this aren't told apart; what two words spell together counts from this margin on, as chance spells much.
+FLOOR, PAIR_LEAST = -0.7, 0.5
 #: Texts whose words are scored together; words that a worker remembers the margins of.
 TOGETHER, MEMO = 1024, 500_000
 
@@ -58,6 +59,7 @@ _SPACES = b" \t\n\v\f\r"
 _FOLD = bytes(b if 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 if b in _SPACES else 123 for b in range(256))
 _WORD = re.compile(rb"[a-z](?:[a-z{]*[a-z])?")
 _SINGLES = re.compile(rb"(?<![^ {])[a-z](?:[ {]+[a-z]){2,}(?![^ {])")
+_PAIRS = re.compile(rb"(?<![^ ])([a-z]{1,4}) +(?=([a-z]{1,4})\{*(?: |$))")
 _SENTENCE_END = re.compile(rb"[.!?]+(?=\s|$)|\n+")
 _CODES = bytes(b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else _OTHER for b in range(256))
 
@@ -90,13 +92,21 @@ def variants(word: bytes) -> list[bytes]:
 def words_of(text: bytes) -> set[bytes]:
     """Distinct words of a text, in small letters without accents and with { for anything else inside, and what runs of
     three and more single letters spell."""
-    folded = _plain(text).translate(_FOLD)
+    return _words_in(_plain(text).translate(_FOLD))
+
+
+def _words_in(folded: bytes) -> set[bytes]:
     words = set(_WORD.findall(folded))
     for run in _SINGLES.findall(folded):
         words.add(run.translate(None, b" {"))
     return words
 
 
+def _pairs_in(folded: bytes) -> set[bytes]:
+    """What two short words in a row spell together, after a space, if it has four letters at least."""
+    return {b" " + a + b for a, b in _PAIRS.findall(folded) if len(a) + len(b) >= 4}
+
+
 def _grouped(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, codes with both ends) of words of equal length, in pieces of bounded size."""
     by_length: dict[int, list[int]] = {}
@@ -285,23 +295,25 @@ class Margins:
         if len(self.known) + len(new) > MEMO:
             self.known.clear()
             new = words
-        plain = [w for w in new if 1 < len(w) <= WIDTH and b"{" not in w]
+        plain = [w for w in new if 1 < len(w) <= WIDTH and w.isalpha()]
         for w, margin in zip(plain, self.machine.margins([w.translate(_CODES) for w in plain]).tolist()):
             self.known[w] = margin
         ways = {w: variants(w) for w in new if w not in self.known}
         flat = list({v for own in ways.values() for v in own})
         score = dict(zip(flat, self.machine.margins(flat).tolist()))
         for w, own in ways.items():
-            self.known[w] = max([score[v] for v in own], default=FLOOR)
+            margin = max([score[v] for v in own], default=FLOOR)
+            self.known[w] = FLOOR if w[:1] == b" " and margin < PAIR_LEAST else margin
 
     def parts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text the mean of the highest margins of words and the logarithm of one more than the number of words."""
         means, numbers = [], []
         for at in range(0, len(texts), TOGETHER):
-            split = [words_of(t) for t in texts[at : at + TOGETHER]]
-            self.learn(set().union(*split))
-            for own in split:
-                best = sorted(map(self.known.__getitem__, own))[-WITNESSES:]
+            folded = [_plain(t).translate(_FOLD) for t in texts[at : at + TOGETHER]]
+            split, pairs = list(map(_words_in, folded)), list(map(_pairs_in, folded))
+            self.learn(set().union(*split, *pairs))
+            for own, more in zip(split, pairs):
+                best = sorted(map(self.known.__getitem__, own | more))[-WITNESSES:]
                 means.append(sum(best) / len(best) if best else FLOOR)
                 numbers.append(len(own))
         return np.array(means), np.log1p(np.array(numbers))

@@ -478,3 +478,22 @@ def test_blocks_share_no_number(spark):
     rows = spark.range(0, 10_000, 1, 3).select("id", F.lit("x y").alias("t"))
     counted = weighing.word_counts(rows, bytes.split).collect()
     assert {bytes(r["word"]): r["n"] for r in counted} == {b"x": 10_000, b"y": 10_000}
+
+
+def test_toxicity_joins_two_pieces_of_an_insult(spark):
+    words = ["river", "cloud", "it", "is", "in", "at", "the", "on", "sun", "more", "to", "so"]
+    rng = random.Random(6)
+    texts, toxic = [], []
+    for i in range(300):
+        w = [rng.choice(words) for _ in range(rng.randrange(5, 30))]
+        toxic.append(i % 3 == 0)
+        if toxic[-1]:
+            w.insert(rng.randrange(len(w)), rng.choice(["idiot", "moron"]))
+        texts.append(" ".join(w) + ".")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    machine = toxicity.learn(docs, spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)], "doc_id long, toxic int"))
+    odd = ["the sun is an idiot so", "the sun is an id iot so", "the sun is an IDI  OT! so", "a mor on at the river", "the sun is on the river", "it is so"]
+    got = dict(toxicity.score(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), machine).collect())
+    assert min(got[i] for i in range(4)) > 0.7 > 0.3 > max(got[4], got[5])
+    assert got[1] == pytest.approx(got[0], abs=0.05)
+    assert toxicity._pairs_in(b"id iot a b the{cat is{ on abcde at") == {b" idiot", b" iota"}
