@@ -52,7 +52,7 @@ WITNESSES = 3
 #: Margins under this aren't told apart; what two words spell together counts from this margin on, as chance spells much.
 FLOOR, PAIR_LEAST = -0.7, 0.5
 #: Texts whose words are scored together; words that a worker remembers the margins of.
-TOGETHER, MEMO = 1024, 500_000
+TOGETHER, MEMO = 1024, 300_000
 
 _OTHER, _BEGIN, _END = 27, 28, 29
 _SPACES = b" \t\n\v\f\r"
