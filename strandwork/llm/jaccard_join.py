@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from strandwork.llm.common import apart, components, drop, written
 from strandwork.llm.weighing import blocks
+from strandwork.llm.workers import lean, lean_groups
 
 #: A shingle in one of so many documents, and in so many at least, counts as common.
 COMMON_SHARE, COMMON_LEAST = 256, 64
@@ -339,10 +340,10 @@ def _similar(percent: int):
 
 def link(names: DataFrame, rows: DataFrame, size: int, percent: int, common: np.ndarray, common_n: np.ndarray, ranges: int) -> tuple[DataFrame | None, list[str]]:
     """Links (a, b) between the names of different sets that tie together whatever similar pairs tie, and scratch paths."""
-    dealt = rows.mapInArrow(_dealt(size, ranges, common), "range long, block long, names binary, sizes binary, places binary, hashes binary")
+    dealt = rows.mapInArrow(lean(_dealt(size, ranges, common)), "range long, block long, names binary, sizes binary, places binary, hashes binary")
     dealt = dealt.withColumn("range", F.col("range").cast("int")).repartitionById(ranges, "range")  # one a task
-    together = dealt.groupBy("range").applyInArrow(_repeated, "block long, places binary, hashes binary, often binary, names binary, sizes binary")
-    sets = together.repartition(ranges, "block").groupBy("block").applyInArrow(_sets(percent, common, common_n), "name long, n long, matches int, entries array<long>, shared binary")
+    together = dealt.groupBy("range").applyInArrow(lean_groups(_repeated), "block long, places binary, hashes binary, often binary, names binary, sizes binary")
+    sets = together.repartition(ranges, "block").groupBy("block").applyInArrow(lean_groups(_sets(percent, common, common_n)), "name long, n long, matches int, entries array<long>, shared binary")
     sets, sets_path = written(sets)
     # A set that blocks share is there for each of them. Its entries may differ by what a block knows, so they are united.
     one = sets.groupBy("name").agg(F.first("n").alias("n"), F.min("matches").alias("matches"), F.array_distinct(F.flatten(F.collect_list("entries"))).alias("entries"), F.first("shared").alias("shared"))
@@ -355,7 +356,7 @@ def link(names: DataFrame, rows: DataFrame, size: int, percent: int, common: np.
         left = sets.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("x"))
         right = sets.select(F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("y"))
         full = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y")
-        return written(full.mapInArrow(_similar(percent), "a long, b long"))
+        return written(full.mapInArrow(lean(_similar(percent)), "a long, b long"))
 
     links, paths = None, [one_path]
     tied = postings.withColumn("tie", F.col("name"))
@@ -400,11 +401,11 @@ def _tied(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> t
     words; and the paths of scratch tables that this reads."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    read, read_path = written(rows.withColumn("_hash", F.xxhash64("_text")).mapInArrow(_first_pass(size), "doc_id long, hash long, n long, name long, common binary, common_n binary"))
+    read, read_path = written(rows.withColumn("_hash", F.xxhash64("_text")).mapInArrow(lean(_first_pass(size)), "doc_id long, hash long, n long, name long, common binary, common_n binary"))
     names = read.where("n is not null").select("doc_id", "hash", "n", "name")
     totals = names.agg(F.sum("n").alias("shingles"), F.count("*").alias("docs")).first()
     least = max(COMMON_LEAST, totals["docs"] // COMMON_SHARE)
-    frequent = read.where("common is not null").select("common", "common_n").mapInArrow(_common, "shingle long, n long")
+    frequent = read.where("common is not null").select("common", "common_n").mapInArrow(lean(_common), "shingle long, n long")
     # At most COMMON_SHARE times the mean set can be in so many documents, so this is bounded whatever the corpus.
     frequent = frequent.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
     common = frequent["shingle"].to_numpy(np.int64).view(_U8)

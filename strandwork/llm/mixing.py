@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strandwork.llm.common import WORD, apart, drop, written
+from strandwork.llm.workers import begin
 
 #: Rows, about, whose rounding errors are carried on together.
 GROUP_ROWS = 4096
@@ -145,6 +146,7 @@ def _mix(docs: DataFrame, weights: tuple[int, ...], most: int, doc_id: str, sour
     schema = T.StructType([f for f in rated.schema if f.name not in ("_rate", "_tie", "_group")] + [T.StructField("copies", T.LongType())])
 
     def copy(part: pd.DataFrame) -> pd.DataFrame:
+        begin(None)
         n = round_rates(part["size"].to_numpy(), part["_rate"].to_numpy(), part["_tie"].to_numpy(), most)
         return part.drop(columns=["_rate", "_tie", "_group"]).assign(copies=n)
 

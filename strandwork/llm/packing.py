@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandwork.llm.workers import lean
+
 #: Cost of a token, and of a pair of tokens in one piece, in units of a token's dense layers.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Documents, and bytes of their ids, in a window.
@@ -231,4 +233,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 0, do
     stays null; repeated rows are packed each; an empty table has no sequences; other columns don't matter.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(_packer(tokenizer, capacity, end), PIECES)
+    return rows.mapInArrow(lean(_packer(tokenizer, capacity, end)), PIECES)

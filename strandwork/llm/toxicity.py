@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from strandwork.llm.common import crc_of_id, drop, written
 from strandwork.llm.weighing import blocks
+from strandwork.llm.workers import kept, lean
 
 #: Weight of each character that a subsequence spans; characters of a word looked at together (longer ones in windows).
 DECAY, WIDTH = 0.6, 24
@@ -277,18 +278,12 @@ def calibrate(machine: Machine, margin: np.ndarray, log_words: np.ndarray, toxic
     return replace(machine, slope=slope, shift=shift, per_log=per_log / slope, most=most)
 
 
-#: The words that this worker has met, by machine; only the last machine's are kept.
-_met: dict[str, dict[bytes, float]] = {}
-
-
 class Margins:
     """The margins of texts. The margin of each word met so far is kept for the tasks to come."""
 
     def __init__(self, machine: Machine):
         self.machine = machine
-        if machine.name not in _met:
-            _met.clear()
-        self.known = _met.setdefault(machine.name, {})
+        self.known: dict[bytes, float] = kept(machine.name)
 
     def learn(self, words: set[bytes]) -> None:
         new = words - self.known.keys()
@@ -381,16 +376,16 @@ def train(sample: DataFrame) -> Machine:
     own = sample.where(~F.col("fold")).select("_id", "_text", "toxic")
     n = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
     n_t, n_c = n.get(1, 0), n.get(0, 0)
-    counts, counts_path = written(own.mapInArrow(_counts, "what binary, t long, c long").groupBy("what").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+    counts, counts_path = written(own.mapInArrow(lean(_counts), "what binary, t long, c long").groupBy("what").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
     likely = counts.where(f"t >= {SPEAKING_TEXTS} and t * {n_c + 1} >= c * {n_t}")  # so that few come to the driver
     known = likely.toPandas()  # from a sample of texts of bounded number
     speak, much = speaking(known["t"].to_numpy(float), known["c"].to_numpy(float), n_t, n_c)
     against_text = {bytes(w): float(x) for w, x, yes in zip(known["what"], much, speak) if yes}
     start = {bytes(r["what"]): float(r["c"]) for r in counts.where("c > 0").orderBy(F.xxhash64("what"), "what").limit(2 * MINED).collect()}
-    sentences, sentences_path = written(own.mapInArrow(_sentences, "words binary, toxic long").groupBy("words", "toxic").agg(F.count("*").alias("n")))
+    sentences, sentences_path = written(own.mapInArrow(lean(_sentences), "words binary, toxic long").groupBy("words", "toxic").agg(F.count("*").alias("n")))
 
     def witnesses(label: int, margins: Callable[[list[bytes]], dict[bytes, float]]) -> DataFrame:
-        found = sentences.where(F.col("toxic") == label).select("words", "n").mapInArrow(_witnesses(margins), "word binary, margin double, n long")
+        found = sentences.where(F.col("toxic") == label).select("words", "n").mapInArrow(lean(_witnesses(margins)), "word binary, margin double, n long")
         return found.groupBy("word").agg(F.max("margin").alias("margin"), F.sum("n").alias("n"))
 
     def mine(machine: Machine) -> dict[bytes, float]:
@@ -407,7 +402,7 @@ def train(sample: DataFrame) -> Machine:
                 columns = (*margins.parts(texts), labels)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.float64(), pa.int64()))], names=["margin", "words", "toxic"])
 
-        held = sample.where("fold").select("_id", "_text", "toxic").mapInArrow(parts, "margin double, words double, toxic long").toPandas()
+        held = sample.where("fold").select("_id", "_text", "toxic").mapInArrow(lean(parts, machine.name), "margin double, words double, toxic long").toPandas()
         machine = calibrate(machine, *(held[c].to_numpy() for c in ("margin", "words", "toxic")))
     drop(spark, path, counts_path, sentences_path)
     return machine
@@ -423,7 +418,7 @@ def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(margins.chances(texts))], names=["doc_id", "score"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(judge, "doc_id long, score double")
+    return rows.mapInArrow(lean(judge, machine.name), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, machine: Machine, cut: float, text: str = "text") -> DataFrame:
@@ -438,7 +433,7 @@ def without_toxic(docs: DataFrame, machine: Machine, cut: float, text: str = "te
                 chance = margins.chances([t or b"" for t in part.column(place).cast(pa.binary()).to_pylist()])
                 yield part.filter(pa.array(chance < cut))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep, machine.name), docs.schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Machine:
