@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from strandwork.llm.common import crc_of_id, drop, written
 from strandwork.llm.weighing import blocks
-from strandwork.llm.workers import kept, lean
+from strandwork.llm.workers import kept, lean, release
 
 #: Weight of each character that a subsequence spans; characters of a word looked at together (longer ones in windows).
 DECAY, WIDTH = 0.6, 24
@@ -45,6 +45,8 @@ DECAY, WIDTH = 0.6, 24
 SAMPLE = 4000
 #: Landmarks; rounds of mining; clean words that a round adds; strength of the penalty.
 LANDMARKS, ROUNDS, MINED, PENALTY = 400, 5, 400, 1e-3
+#: Words whose tables, 128 KB each, are held at a time.
+TABLES = 200
 #: A word that speaks against a text: toxic texts that hold it, log of how many times as frequent it is in toxic texts as in
 #: clean ones, and log-likelihood ratio, at least.
 SPEAKING_TEXTS, SPEAKING_RATIO, SPEAKING_LEAST = 3, 1.5, 8.0
@@ -161,15 +163,24 @@ def tables_of(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def against(words: list[bytes], tables: np.ndarray) -> np.ndarray:
-    """Normalised kernels (words, tables) of words against tables (tables, subsequences) made by tables_of."""
-    out = np.zeros((len(words), len(tables)), np.float32)
-    columns = np.ascontiguousarray(tables.T.astype(np.float32))
-    for places, codes in _grouped(words):
-        own = np.zeros((codes.shape[1], len(tables)), np.float32)
-        for at, weight in _subsequences(codes):
-            own += weight * columns[at]
-        out[places] = own / np.sqrt(_self_kernel(codes))[:, None]
+def _in_parts(words: list[bytes]) -> Iterator[tuple[slice, np.ndarray]]:
+    """tables_of for TABLES words at a time, and which they are: the driver hasn't room for all at once."""
+    for at in range(0, len(words), TABLES):
+        yield slice(at, at + TABLES), tables_of(words[at : at + TABLES])
+
+
+def against(words: list[bytes], others: list[bytes]) -> np.ndarray:
+    """Normalised kernels (words, others)."""
+    out = np.zeros((len(words), len(others)), np.float32)
+    groups = [(places, codes, 1 / np.sqrt(_self_kernel(codes)), *_places(len(codes))) for places, codes in _grouped(words)]
+    for part, tables in _in_parts(others):
+        columns = np.ascontiguousarray(tables.T)
+        del tables
+        for places, codes, own, i, j, k, weight in groups:
+            for place, word, scale in zip(places, codes.T, own.astype(np.float32)):
+                out[place, part] = scale * (weight @ columns[(word[i] << 10) | (word[j] << 5) | word[k]])
+        del columns
+        release()
     return out
 
 
@@ -244,11 +255,10 @@ def fit(toxic: dict[bytes, float], clean: dict[bytes, float], mine: Callable[[Ma
     for _ in range(ROUNDS):
         negative = list(clean)
         half = min(len(positive), LANDMARKS)
-        tables = tables_of(positive[:half] + negative[:LANDMARKS])
-        among = tables @ tables.T
+        candidates = positive[:half] + negative[:LANDMARKS]
+        among = against(candidates, candidates)
         picked = _spread(among[:half, :half], LANDMARKS * 3 // 4) + [half + i for i in _spread(among[half:, half:], LANDMARKS // 4)]
-        landmark = tables[picked].astype(np.float64)
-        del tables
+        landmark = [candidates[i] for i in picked]
         values, vectors = np.linalg.eigh(among[np.ix_(picked, picked)].astype(np.float64))
         keep = values > 1e-4
         root = vectors[:, keep] / np.sqrt(values[keep])
@@ -256,7 +266,14 @@ def fit(toxic: dict[bytes, float], clean: dict[bytes, float], mine: Callable[[Ma
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         own, other = np.array([toxic[w] for w in positive]), np.array([clean[w] + 0.5 for w in negative])
         v = _linear_machine(z, y, np.concatenate([own / own.sum(), other / other.sum()]), PENALTY)
-        machine = Machine((root @ v[:-1]) @ landmark, float(v[-1]), name=uuid.uuid4().hex)
+        share = root @ v[:-1]
+        table = np.zeros(1 << 15)
+        for part, tables in _in_parts(landmark):
+            for much, own_table in zip(share[part], tables):
+                table += much * own_table.astype(np.float64)
+        del tables
+        release()
+        machine = Machine(table, float(v[-1]), name=uuid.uuid4().hex)
         clean = mine(machine) | clean  # the hardest come first
     return machine
 

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -438,6 +439,22 @@ def test_subsequence_kernel_is_the_definition():
             assert tables[i] @ tables[j] == pytest.approx(dot(x, y) / math.sqrt(dot(x, x) * dot(y, y)), abs=1e-4)
 
 
+def test_fitting_holds_few_tables_at_a_time():
+    """The driver fits within its share: all candidates' tables at once are 128 KB a word and more on the way."""
+    rng = np.random.default_rng(2)
+    some = lambda n: {rng.integers(1, 27, rng.integers(4, 16)).astype(np.uint8).tobytes(): 1.0 for _ in range(n)}
+    toxic, clean = some(500), some(800)
+    tracemalloc.start()
+    machine = toxicity.fit(toxic, clean, lambda _: some(20))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6
+    words = list(toxic)[:30]
+    tables = toxicity.tables_of(words)
+    assert np.allclose(toxicity.against(words[:7], words), tables[:7] @ tables.T, atol=1e-5)
+    assert machine.margins(list(toxic)).mean() > machine.margins(list(clean)).mean()
+
+
 def test_toxicity_learns_insults_and_forgives_gaps(spark):
     rng = random.Random(4)
     insults = ["blorkhead", "snivelling", "nincompoop"]
