@@ -16,6 +16,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.llm.common import crc_of_id, drop, written
-from strandwork.llm.weighing import blocks, weigh, word_counts
+from strandwork.llm.weighing import Block, blocks, weigh, word_counts
 
 #: States; words with a class of their own; classes of the others. The last class is the end of a text.
 STATES, TOP, TAIL = 8, 383, 128
@@ -31,10 +33,10 @@ CLASSES = TOP + TAIL + 1
 END = CLASSES - 1
 #: Baum-Welch rounds; tokens of the stretches that they train on; stretches at a time; rounds and starts of the first fit.
 ROUNDS, STRETCH, AT_ONCE, FIRST_ROUNDS, STARTS = 3, 64, 8192, 150, 3
+#: Texts that are split at a time to be told their classes: few, so that their words stay in the processor's memory.
+SPLIT = 64
 #: Added to each count of a word, as for the base.
 ADDED = 0.1
-#: Distinct words whose class a task remembers.
-MEMO = 500_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -42,21 +44,30 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-class Classes(dict):
-    """The class of a word. top: the words with classes of their own."""
+@cache
+def _tail_classes() -> np.ndarray:
+    """The class of a word without one of its own, by its last two bytes; a space stands before a single one."""
+    return np.array([TOP + zlib.crc32(bytes((a, b) if a != 32 else (b,))) % TAIL for a in range(256) for b in range(256)], np.uint16)
+
+
+class Classes:
+    """The classes of words. top: the words with classes of their own."""
 
     def __init__(self, top: list[bytes]):
         self.top = {w: k for k, w in enumerate(top)}
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        k = self[word] = self.top[word] if word in self.top else TOP + zlib.crc32(word[-2:]) % TAIL
-        return k
+    def of(self, found: list[bytes]) -> np.ndarray:
+        if not found:
+            return np.zeros(0, np.uint16)
+        own = np.fromiter(map(self.top.get, found, repeat(CLASSES)), np.uint16, len(found))
+        text = np.frombuffer(b" %b " % b" ".join(found), np.uint8)  # no word holds a space
+        last = np.flatnonzero(text == 32)[1:] - 1
+        return np.where(own < CLASSES, own, _tail_classes()[text[last - 1].astype(np.int64) << 8 | text[last]])
 
-    def of(self, text: bytes) -> np.ndarray:
-        found = words(text)
-        return np.fromiter(map(self.__getitem__, found), np.uint16, len(found))
+
+def _ended(classes: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """The sequence of each text, its end included. classes: of all texts' words, one text after the other."""
+    return np.split(np.insert(classes, np.cumsum(lengths), END), np.cumsum(lengths + 1)[:-1])
 
 
 @dataclass
@@ -164,7 +175,11 @@ def _encoded(top: list[bytes]) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(top)
         for _, _, texts, _ in blocks(batches):
-            packed = [np.append(classes.of(t), np.uint16(END)).astype("<u2").tobytes() for t in texts]
+            packed = []
+            for at in range(0, len(texts), SPLIT):
+                split = list(map(words, texts[at : at + SPLIT]))
+                of_words = classes.of(list(chain.from_iterable(split)))
+                packed += [x.astype("<u2").tobytes() for x in _ended(of_words, np.array(list(map(len, split))))]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["classes"])
 
     return encode
@@ -288,10 +303,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     def value() -> Callable[[list[bytes], np.ndarray], np.ndarray]:
         return lambda _, n: np.stack([n > 0, np.log10(n + ADDED), np.log10(n + ADDED)], axis=1)
 
-    def describe(texts: list[bytes]) -> np.ndarray:
-        classes = Classes(top)
-        found = [np.append(classes.of(t), np.uint16(END)) for t in texts]
-        return np.stack([[len(r) for r in found], likelihoods(model, found), [class_total[r].sum() for r in found]], axis=1)
+    def describe(block: Block) -> np.ndarray:
+        found = _ended(Classes(top).of(block.words)[block.tokens], block.lengths)
+        return np.stack([block.lengths + 1, likelihoods(model, found), [class_total[r].sum() for r in found]], axis=1)
 
     out = weigh(rows.withColumn("_counted", ~held), 3, words, describe, value, known)
     end = float(np.log10(n_docs + ADDED))

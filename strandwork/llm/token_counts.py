@@ -70,6 +70,6 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     Special strings inside a text are one token each, as the library has it by default.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    sizes = lambda texts: np.array([[len(t)] for t in texts])
+    sizes = lambda block: np.array([[len(t)] for t in block.texts])
     found = weigh(rows, 1, bytes.split, sizes, lambda: _pieces(tokenizer), lambda: _common(tokenizer))
     return found.select("doc_id", F.col("own")[0].cast("long").alias("n_bytes"), F.col("sums")[0].cast("long").alias("n_tokens"))

@@ -14,7 +14,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain, groupby
+from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -70,11 +71,52 @@ def word_counts(rows: DataFrame, split: Callable[[bytes], list[bytes]]) -> DataF
     return rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class _Numbered(dict):
+    """The numbers of words, in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+@dataclass
+class Block:
+    """The texts of a block, split once."""
+
+    texts: list[bytes]
+    words: list[bytes]  # distinct
+    tokens: np.ndarray  # numbers of the words of all texts, one text after the other
+    lengths: np.ndarray  # words of each text
+
+    @classmethod
+    def of(cls, texts: list[bytes], split: Callable[[bytes], list[bytes]]) -> Block:
+        numbers = _Numbered()
+        found = [np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)) for words in map(split, texts)]
+        return cls(texts, list(numbers), np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def entries(self, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word and each text that holds it, by both: the word's number; the text's place, whether it is counted and
+        how often it holds the word, in four bytes. What two bytes can't hold is another entry."""
+        keys = self.tokens.astype(np.int64) * BLOCK_ROWS + np.repeat(np.arange(len(self.texts)), self.lengths)
+        keys.sort()
+        begin = np.flatnonzero(np.diff(keys, prepend=-1))
+        n = np.diff(begin, append=len(keys))
+        keys = keys[begin]
+        more = (n - 1) // 0xFFFF
+        if more.any():
+            rest, last = n - more * 0xFFFF, np.cumsum(more + 1) - 1
+            keys = np.repeat(keys, more + 1)
+            n = np.full(len(keys), 0xFFFF)
+            n[last] = rest
+        of, place = np.divmod(keys, BLOCK_ROWS)
+        return of, (place | counted[place].astype(np.int64) << 12 | n << 16).astype("<u4")
+
+
 def weigh(
     rows: DataFrame,
     width: int,
     split: Callable[[bytes], list[bytes]],
-    describe: Callable[[list[bytes]], np.ndarray],
+    describe: Callable[[Block], np.ndarray],
     value: Callable[[], Callable[[list[bytes], np.ndarray], np.ndarray]],
     known: Callable[[], Callable[[bytes, float], list[float] | None]],
 ) -> DataFrame:
@@ -83,7 +125,7 @@ def weigh(
     sums adds `width` numbers over the words of the text as often as they occur. value() is called once a task and gives
     a function of distinct words and of how often each occurs in all counted rows, which returns a row of numbers a word;
     known() one of a word and the share of the block's documents that hold it, for words that need no count, or None.
-    own is describe()'s row for the text, given the texts of a block at a time. Repeated rows and null ids keep their row.
+    own is describe()'s row for the text, given a block at a time. Repeated rows and null ids keep their row.
     """
     size = rows.agg(F.sum(F.octet_length(rows.columns[1]))).first()[0] or 0
     parts = max(1, -(-size // DEALT_BYTES))
@@ -95,37 +137,31 @@ def weigh(
         """The rows of each block: its documents with what is known at once, then its words by part."""
         at_once = known()
         for number, ids, texts, counted in blocks(batches):
-            held: dict[bytes, list[int]] = {}
-            for place, (text, counts) in enumerate(zip(texts, counted)):
-                place |= bool(counts) << 12
-                for word, n in Counter(split(text)).items():
-                    row = held.get(word)
-                    if row is None:
-                        row = held[word] = []
-                    while n > 0xFFFF:  # what two bytes can't hold is another entry
-                        row.append(place | 0xFFFF0000)
-                        n -= 0xFFFF
-                    row.append(place | n << 16)
-            sums = np.zeros((BLOCK_ROWS, width))
-            dealt = []
-            for word, row in held.items():
-                v = at_once(word, len(row) / len(texts))
-                if v is None:
-                    dealt.append((zlib.crc32(word) % parts, word, row))
-                else:
-                    entries = np.array(row, "<u4")
-                    np.add.at(sums, entries & 0xFFF, (entries >> 16)[:, None] * np.array(v))
-            del held
-            own = np.asarray(describe(texts), np.float64)
-            own = np.concatenate([own, sums[: len(texts)]], axis=1)
+            block = Block.of(texts, split)
+            of, entries = block.entries(np.array(counted, bool))
+            each = np.bincount(of, minlength=len(block.words))
+            at_once_v = [at_once(word, share) for word, share in zip(block.words, (each / len(texts)).tolist())]
+            settled = np.array([v is not None for v in at_once_v], bool)
+            own = np.asarray(describe(block), np.float64)
+            sums = np.zeros((len(texts), width))
+            if settled.any():
+                v = np.array([v for v in at_once_v if v is not None], np.float64)[(np.cumsum(settled) - 1)[of[settled[of]]]]
+                place, n = entries[settled[of]] & 0xFFF, entries[settled[of]] >> 16
+                sums = np.stack([np.bincount(place, n * v[:, k], len(texts)) for k in range(width)], axis=1)
+            own = np.concatenate([own, sums], axis=1)
             yield _batch(packed, [number % parts], [number], [None], [None], [None], [None], [ids], [own.reshape(-1)])
-            dealt.sort(key=lambda d: d[0])
+            dealt = np.flatnonzero(~settled)
+            part = np.fromiter((zlib.crc32(block.words[w]) for w in dealt.tolist()), np.int64, len(dealt)) % parts
+            order = np.argsort(part, kind="stable")
+            dealt, part = dealt[order], part[order]
+            words = [block.words[w] for w in dealt.tolist()]
+            lengths, many = np.fromiter(map(len, words), "<u4", len(words)), each[dealt]
+            ends = np.concatenate([[0], np.cumsum(many)])
+            flat = entries[np.repeat((np.cumsum(each) - each)[dealt] - ends[:-1], many) + np.arange(ends[-1])]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=parts)).tolist()
             out = []
-            for part, group in groupby(dealt, key=lambda d: d[0]):
-                _, words, entries = zip(*group)
-                lengths, each = np.fromiter(map(len, words), "<u4", len(words)), np.fromiter(map(len, entries), "<u4", len(words))
-                flat = np.fromiter(chain.from_iterable(entries), "<u4", int(each.sum()))
-                out.append((part, number, b"".join(words), lengths.tobytes(), each.tobytes(), flat.tobytes(), None, None))
+            for x, y in pairwise(cuts):
+                out.append((int(part[x]), number, b"".join(words[x:y]), lengths[x:y].tobytes(), many[x:y].astype("<u4").tobytes(), flat[ends[x] : ends[y]].tobytes(), None, None))
                 if len(out) == 500:
                     yield _batch(packed, *zip(*out))
                     out = []

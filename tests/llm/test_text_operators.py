@@ -308,6 +308,30 @@ def test_hmm_scores_are_the_model_s(spark):
     assert (model.start @ model.emit).sum() == pytest.approx(1)
 
 
+def test_blocks_are_split_once():
+    """A block's word frequencies and its texts' classes come from one split of each text."""
+    texts = [(t or "").encode() for t in ODD + sentences(60)] + [b"q w q " * 70_000]
+    counted = np.arange(len(texts)) % 3 > 0
+    calls = []
+    block = weighing.Block.of(texts, lambda t: calls.append(t) or hmm.words(t))
+    assert calls == texts
+    of, entries = block.entries(counted)
+    assert sorted(block.words) == sorted({w for t in texts for w in hmm.words(t)}) and max(entries >> 16) == 0xFFFF
+    assert (np.diff(of) >= 0).all()
+    got = Counter()
+    for w, e in zip(of.tolist(), entries.tolist()):
+        assert bool(e >> 12 & 1) == counted[e & 0xFFF]
+        got[block.words[w], e & 0xFFF] += e >> 16
+    assert got == Counter((w, i) for i, t in enumerate(texts) for w in hmm.words(t))
+    top = [b"w", b"one", "é".encode(), b"the"]
+    plain = [[top.index(w) if w in top else hmm.TOP + zlib.crc32(w[-2:]) % hmm.TAIL for w in hmm.words(t)] + [hmm.END] for t in texts]
+    found = hmm._ended(hmm.Classes(top).of(block.words)[block.tokens], block.lengths)
+    assert [x.tolist() for x in found] == plain
+    empty = weighing.Block.of([b"", b" "], hmm.words)
+    assert [len(x) for x in empty.entries(np.ones(2, bool))] == [0, 0]
+    assert [x.tolist() for x in hmm._ended(hmm.Classes(top).of(empty.words)[empty.tokens], empty.lengths)] == [[hmm.END]] * 2
+
+
 def test_forward_recursion_is_the_sum_over_all_paths():
     rng = np.random.default_rng(0)
     model = hmm.Model(*(a / a.sum(-1, keepdims=True) for a in (rng.random(hmm.STATES), rng.random((hmm.STATES, hmm.STATES)), rng.random((hmm.STATES, hmm.CLASSES)))))
